@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskwise.llm.bpe import Encoder
 from deskwise.llm.common import partitions
@@ -92,16 +92,14 @@ def pack(items: DataFrame, capacity: Capacity = Capacity(), together: int = 16_3
     the last few sequences of each such lot are less full than one packing of everything would leave them.
     Pieces as long as a sequence fill one each. A piece that no empty sequence can hold is an error.
     """
-    fields = items.schema
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        nonlocal_bin = TaskContext.get().partitionId() << 40
+        next_bin = TaskContext.get().partitionId() << 40
         waiting: list[pa.RecordBatch] = []
 
         def lot() -> pa.Table:
-            nonlocal nonlocal_bin
+            nonlocal next_bin
             rows = pa.Table.from_batches(waiting)
             lengths = rows["length"].to_numpy()
             if len(lengths) and (lengths.max() > capacity.tokens or lengths.max() ** 2 > capacity.attention):
@@ -111,8 +109,8 @@ def pack(items: DataFrame, capacity: Capacity = Capacity(), together: int = 16_3
             bins[full] = np.arange(full.sum())
             some, at = best_fit(lengths[~full], capacity)
             bins[~full], offsets[~full] = some + full.sum(), at
-            rows = rows.append_column("sequence_id", pa.array(bins + nonlocal_bin)).append_column("offset", pa.array(offsets))
-            nonlocal_bin += int(bins.max(initial=-1)) + 1
+            rows = rows.append_column("sequence_id", pa.array(bins + next_bin)).append_column("offset", pa.array(offsets))
+            next_bin += int(bins.max(initial=-1)) + 1
             waiting.clear()
             return rows
 
@@ -128,10 +126,10 @@ def pack(items: DataFrame, capacity: Capacity = Capacity(), together: int = 16_3
         if waiting:
             yield from lot().to_batches()
 
-    schema = fields.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return items.repartition(partitions(items.sparkSession), "doc_id").sortWithinPartitions("doc_id", "piece").mapInArrow(packed, schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), end_id: int = 2) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document."""
-    return pack(pieces(docs, tokenizer, end_id, capacity.tokens), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id"), F.col("offset"))
+    return pack(pieces(docs, tokenizer, end_id, capacity.tokens), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

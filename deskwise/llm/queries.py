@@ -8,9 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskwise.llm import packing, token_codes
+from deskwise.llm import hosts, language, licenses, packing, personal, spots, token_codes
 from deskwise.llm.common import shared_dir, table
 
+#: Fixed values of the URL query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The folder of public tokenizers is a setting; its package knows the default one."""
@@ -21,18 +24,46 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-codes-{uuid.uuid4().hex}"
     token_codes.write_codes(table(spark, sf_dir, "documents"), tokenizer_path(), path)
     return token_codes.read_documents(spark, path)
 
 
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(language.training_rows(docs))
+    found = language.predict(docs.select("doc_id", "text", language.held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_symbol", "accepted")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_personal_data": op2_personal_data,
     "op3_token_codes": op3_token_codes,
+    "op4_host_reputation": op4_host_reputation,
+    "op6_language": op6_language,
+    "op8_license_scan": op8_license_scan,
+    "op9_spot_signatures": op9_spot_signatures,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_host_reputation": hosts.ORACLE}

@@ -34,14 +34,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, key: str | list[str], by: str, salts: int = 16) -> DataFrame:
     """Inner join on ``key`` in which a frequent key of ``left`` is dealt to ``salts`` tasks by the column ``by``.
 
     ``right`` has one row for each key.
     """
+    keys = [key] if isinstance(key, str) else key
     left = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The table, to be broadcast if it has at most ``rows`` rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskwise.llm import hosts, language, licenses, packing, personal, spots, token_codes
+from deskwise.llm import decontaminate, hosts, language, licenses, lines, packing, personal, spots, token_codes
 from deskwise.llm.common import shared_dir, table
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -38,6 +38,10 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(language.training_rows(docs))
@@ -45,6 +49,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_symbol", "accepted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -61,9 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_token_codes": op3_token_codes,
     "op4_host_reputation": op4_host_reputation,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
+    "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_spot_signatures": op9_spot_signatures,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op4_host_reputation": hosts.ORACLE}
+ORACLES: dict[str, str] = {"op4_host_reputation": hosts.ORACLE, "op5_decontaminate": decontaminate.ORACLE}

@@ -74,21 +74,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found; those with a null doc_id are compared by their null."""
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    return docs.join(bounded(found), docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
 
 
+#: Eleven equal words of 13 hold a run of four, so the alignments to compare are those of equal runs of four.
 ORACLE = """
-with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w from documents where text is not null),
-b as (select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w from benchmark),
-dt as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as at from d),
-bt as (select item_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as at, len(w) as n from b where len(w) >= 9),
-rare as (select word from dt group by word having count(*) <= 400),
-dg as (select distinct dt.doc_id, bt.item_id, dt.at - bt.at as start from dt join bt using (word) semi join rare using (word)),
-e as (select dg.doc_id, dg.item_id, dg.start, bt.n, bt.at, bt.word = dt.word as eq from dg join bt on bt.item_id = dg.item_id
-  join dt on dt.doc_id = dg.doc_id and dt.at = bt.at + dg.start),
-s as (select *, sum(eq::int) over (partition by doc_id, item_id, start order by at rows between 12 preceding and current row) as k,
+with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents where text is not null),
+b as (select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from benchmark),
+dt as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos from d),
+bt as (select item_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos, len(w) as n from b where len(w) >= 9),
+dr as (select *, lead(word) over x as w1, lead(word, 2) over x as w2, lead(word, 3) over x as w3 from dt window x as (partition by doc_id order by pos)),
+br as (select *, lead(word) over x as w1, lead(word, 2) over x as w2, lead(word, 3) over x as w3 from bt window x as (partition by item_id order by pos)),
+dg as (select distinct dr.doc_id, br.item_id, dr.pos - br.pos as start from dr join br using (word, w1, w2, w3)),
+e as (select dg.doc_id, dg.item_id, dg.start, bt.n, bt.pos, bt.word = dt.word as eq from dg join bt on bt.item_id = dg.item_id
+  join dt on dt.doc_id = dg.doc_id and dt.pos = bt.pos + dg.start),
+s as (select *, sum(eq::int) over (partition by doc_id, item_id, start order by pos rows between 12 preceding and current row) as k,
   sum(eq::int) over (partition by doc_id, item_id, start) as n_matched from e),
-f as (select distinct doc_id, item_id, start, n, n_matched from s where k >= least(11, case when n < 13 then n else 11 end))
+f as (select distinct doc_id, item_id, start, n, n_matched from s where k >= case when n < 13 then n else 11 end)
 select doc_id, item_id, n_matched::bigint as n_matched, start::bigint as start, n::bigint as n_words
 from (select *, row_number() over (partition by doc_id, item_id order by n_matched desc, start) as r from f) where r = 1
 """

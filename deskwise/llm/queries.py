@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskwise.llm import decontaminate, hosts, language, licenses, lines, packing, personal, spots, token_codes
+from deskwise.llm import decontaminate, groups, hosts, language, licenses, lines, packing, personal, spots, token_codes
 from deskwise.llm.common import shared_dir, table
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -24,6 +24,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_data(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_groups": op1_jaccard_groups,
     "op2_personal_data": op2_personal_data,
     "op3_token_codes": op3_token_codes,
     "op4_host_reputation": op4_host_reputation,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deskwise.plans import analytics  # noqa: F401
+from deskwise.plans import analytics, retrieval  # noqa: F401
 from deskwise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

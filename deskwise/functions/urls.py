@@ -7,6 +7,7 @@ from urllib.parse import unquote, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_page(url: str) -> Column:
@@ -27,7 +28,7 @@ def _normal(url: str | None) -> str | None:
         return url.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_url(url: pd.Series) -> pd.Series:
     """https, the host in lower case without www., the path decoded and without slashes around it, the query as it is, no
     fragment. What can't be read stays, without blanks around it."""

@@ -52,8 +52,9 @@ def words(text: str) -> int:
 def sentence_chunks(docs: DataFrame, most: int = 500, overlap: int = 50, measure: Callable[[str], int] = len, text: str = "text") -> DataFrame:
     """A row for each chunk: the documents' other columns, ``content, chunk_order_index, chars``.
 
-    A document's fold is sequential, its sentences being read once; documents are dealt evenly before it, so that a few
-    long ones don't wait in one task. ``measure`` counts characters, words, or a model's tokens.
+    A document's fold is sequential, its sentences being read once; documents are independent, so there is no shuffle.
+    Where a table comes in few files, the caller may repartition it first. ``measure`` counts characters, words, or a
+    model's tokens.
     """
 
     @F.pandas_udf(T.ArrayType(_CHUNK))

@@ -9,6 +9,7 @@ from deskwise.functions import urls
 from deskwise.operators import evaluate as E
 from deskwise.operators import retrieve as R
 from deskwise.plans.registry import query
+from deskwise.sources.shared import written
 from deskwise.sources.tables import Tables
 
 NEED = ("vector_queries", "doc_chunks", "entity_chunks", "relation_chunks", "query_entities", "query_relations", "documents")
@@ -278,7 +279,7 @@ def mean_metrics(t: Tables) -> DataFrame:
 
 @query("g12_bootstrap")
 def bootstrap(t: Tables) -> DataFrame:
-    return E.bootstrap_ci(per_query(t), n_boot=200)
+    return E.bootstrap_ci(written(per_query(t), "per-query"), n_boot=200)
 
 
 #: The published numbers of the older system, by metric.

@@ -382,7 +382,7 @@ def mine_items(t: Tables) -> DataFrame:
     return E.mine_items(cand, 20).drop("prompt")
 
 
-@query("g10_category_counts", "select category, count(*) as n from cand group by 1", NEED, {"cand": _CAND})
+@query("g10_category_counts", "select case when vec_id % 2 = 0 then 'direct' else 'conditional' end as category, count(*) as n from doc_chunks group by 1", NEED)
 def category_counts(t: Tables) -> DataFrame:
     return t.doc_chunks.groupBy(F.expr("case when vec_id % 2 = 0 then 'direct' else 'conditional' end").alias("category")).agg(F.count("*").alias("n"))
 

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskwise.sources.shared import fresh_path, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["bounded", "components", "fresh_path", "partitions", "salted", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one where none is set, as in tests."""
-    context = spark.sparkContext
-    if not (found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table in the shared folder: they aren't computed twice, nor lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:

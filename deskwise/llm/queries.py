@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from deskwise.llm import decontaminate, groups, hosts, language, licenses, lines, packing, personal, spots, token_codes
-from deskwise.llm.common import shared_dir, table
+from deskwise.llm.common import fresh_path, table
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -33,7 +32,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-codes-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "token-codes")
     token_codes.write_codes(table(spark, sf_dir, "documents"), tokenizer_path(), path)
     return token_codes.read_documents(spark, path)
 

@@ -20,7 +20,9 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 ORDER = 4
 #: Characters scored at once in a task.
-LOT = 2_000_000
+LOT = 400_000
+#: Documents whose texts a task holds as strings at once.
+ROWS = 512
 _letters: list[np.ndarray] = []
 
 
@@ -118,9 +120,9 @@ class Model:
         bits = self.bits(codes)
         return np.stack([np.bincount(doc, row[back], len(texts)) for row in bits]) / n, letters
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
-        """Language, score, bits per symbol and acceptance of each text."""
-        pred, score, cost, good = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [False] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[int], list[bool]]:
+        """Language, score, bits per symbol, number of letters and acceptance of each text."""
+        pred, score, cost, count, good = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts), [False] * len(texts)
         lots: list[list[int]] = [[]]
         size = 0
         for i, text in enumerate(texts):
@@ -138,9 +140,9 @@ class Model:
             sure = 1 / np.exp2(-(h - least) * np.minimum(letters, 64)).sum(axis=0)
             for k, i in enumerate(lot):
                 if letters[k]:
-                    pred[i], score[i], cost[i] = self.languages[best[k]], float(sure[k]), float(least[k])
+                    pred[i], score[i], cost[i], count[i] = self.languages[best[k]], float(sure[k]), float(least[k]), int(letters[k])
                     good[i] = bool(least[k] <= self.limits[pred[i]] + 6 / np.sqrt(letters[k]))
-        return pred, score, cost, good
+        return pred, score, cost, count, good
 
 
 def train(labelled: DataFrame, per_language: int = 2000, calibrated: float = 0.999, margin: float = 1.0) -> Model:
@@ -188,12 +190,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            pred, score, bits, good = sent.value.predict(texts)
-            letters = [sum(map(str.isalpha, t[:200])) if t else 0 for t in texts]
-            arrays = [pa.array(x, t) for x, t in zip((pred, score, bits, letters, good), added.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = sent.value.predict(batch["text"].to_pylist())
+                arrays = [pa.array(x, t) for x, t in zip(found, added.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, from_arrow_type(kind)) for name, kind in added.items())])
     return docs.mapInArrow(predicted, schema)

@@ -36,13 +36,13 @@ def _words(line: Column) -> Column:
 
 def _halves(words: Column) -> Column:
     """A line's keys for the lines that one edit makes of it: for either length of the shorter line, the shorter's first
-    half and its other half at the line's end."""
+    half and its other half at the line's end. Two of the four are the same."""
     n = F.size(words)
     keys = []
     for m in (n - 1, n):
         h = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit(0), m, F.slice(words, 1, h)), F.xxhash64(F.lit(1), m, F.slice(words, n - (m - h) + 1, m - h))]
-    return F.array(*keys)
+        keys += [F.xxhash64(F.lit(0), F.slice(words, 1, h)), F.xxhash64(F.lit(1), F.slice(words, n - (m - h) + 1, m - h))]
+    return F.array_distinct(F.array(*keys))
 
 
 def _chain(hashes: Column) -> Column:
@@ -87,23 +87,26 @@ def repeated(docs: DataFrame, min_words: int = 4, near_words: int = 10) -> DataF
     split = split.select("document", "line", F.btrim("t", F.lit(_SPACE)).alias("t")).withColumn("w", _words(F.col("t"))).where(F.size("w") >= min_words)
     lines = written(split.select(_place(F.col("document"), F.col("line")).alias("place"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), F.when(F.size("w") >= near_words, _halves(F.col("w"))).alias("halves")), "lines")
 
-    first = written(lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "first-lines")
+    first = written(lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-lines")
     exact = salted(lines.select("k1", "k2", "place"), first.where("n > 1").select("k1", "k2", "first"), ["k1", "k2"], "place").where("place > first").select("place")
 
-    half = first.where("halves is not null").select(F.explode("halves").alias("half"), "first")
-    shared = half.groupBy("half").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("half")
-    some = salted(half, shared, "half", "first").select(F.col("first").alias("place")).distinct()
+    half = lines.where("halves is not null").select(F.explode("halves").alias("half"), "k1")
+    shared = half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("half")
+    some = salted(half, shared, "half", "k1").select("k1").distinct().join(first, "k1").select(F.col("first").alias("place"))
     some = some.select(F.expr(f"cast(floor(place / {_NINE}BD) as decimal(31,0))").alias("document"), F.expr(f"cast(place % {_NINE}BD as int)").alias("line"), "place")
     wanted = some.groupBy("document").agg(F.collect_list(F.struct("line", "place")).alias("wanted"))
     source = texts.select(_document().alias("document"), "text").join(wanted, "document").dropDuplicates(["document"])
-    near = source.select(F.explode("wanted").alias("x"), F.split("text", "\n").alias("all")).select("x.place", _words(F.btrim(F.get("all", F.col("x.line")), F.lit(_SPACE))).alias("w"))
+    line = F.btrim(F.get("all", F.col("x.line")), F.lit(_SPACE))
+    near = source.select(F.explode("wanted").alias("x"), F.split("text", "\n").alias("all")).select("x.place", F.xxhash64(line).alias("k1"), _words(line).alias("w"))
     near = written(near, "near-lines")
 
-    hashes = near.select("place", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    keys = hashes.select("place", "n", _chain(F.col("h")).alias("front"), _chain(F.reverse("h")).alias("back"))
-    keys = written(keys.select("place", F.explode(_deletions("front", "back", "n")).alias("key")), "deletions")
-    earliest = keys.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("key", "first")
-    pairs = salted(keys, earliest, "key", "place").where("place > first").groupBy("place").agg(F.min("first").alias("first"))
+    hashes = near.select("k1", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    keys = hashes.select("k1", "n", _chain(F.col("h")).alias("front"), _chain(F.reverse("h")).alias("back"))
+    keys = written(keys.select("k1", F.explode(_deletions("front", "back", "n")).alias("key")), "deletions")
+    equal = keys.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("key")
+    variants = written(salted(keys, equal, "key", "k1").join(near.select("k1", "place"), "k1").select("key", "place"), "equal-deletions")
+    earliest = variants.groupBy("key").agg(F.min("place").alias("first"))
+    pairs = salted(variants, earliest, "key", "place").where("place > first").groupBy("place").agg(F.min("first").alias("first"))
     checked = pairs.join(near.withColumnRenamed("w", "a"), "place").join(near.select(F.col("place").alias("first"), F.col("w").alias("b")), "first").where(_one_edit("a", "b"))
     both = exact.union(checked.select("place")).distinct()
     return both.select(F.expr(f"cast(floor(place / {_NINE}BD) as decimal(31,0))").alias("document"), F.expr(f"cast(place % {_NINE}BD as int)").alias("line"))

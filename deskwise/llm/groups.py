@@ -3,14 +3,16 @@
 Documents are sets of word shingles. Equal sets are one class. Shingles have one order for all documents, rare ones
 first by a sketch of their frequencies; two sets of similarity 0.8 share one of the first fifth of either (the prefix).
 
-* Similar documents are partitioned into groups: a document's group is its prefix shingle that most classes share.
+* Similar documents are partitioned into groups: a document's group is its prefix shingle that most classes share, with
+  the step of its size on a fine geometric scale, which makes bounds for the group tight.
 * The matrix has a row for each shingle and group: the union of the prefixes of the group's members.
 * A document's overlap with a group is counted in the matrix. It bounds the overlap with each member, so a group whose
   bound is too low for every possible member isn't opened.
 * A group that qualifies is opened at its most typical members first. Then, for the documents that are still apart from
   some of its members, it is opened for these members, and each pair that its own bound allows is compared.
 
-Pairs that are known to be connected aren't compared again, so a large group of copies costs one comparison a member.
+Two documents are only compared if each opened the other's group. Pairs that are known to be connected aren't compared
+again, so a large group of copies costs one comparison a member.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from deskwise.llm import shingles
 from deskwise.llm.common import bounded, components, salted, written
 
+#: The ratio of the steps of sizes.
+STEP = 1.03
 #: log2 of the number of counters of the sketch, and of the slices in which it is summed.
 SKETCH, SLICES = 20, 6
 
@@ -136,8 +140,9 @@ def labelled(docs: DataFrame) -> DataFrame:
 
     # Groups: the most shared token of each document's prefix; typical: how widely its tokens are shared.
     nodes = shared.groupBy("node").agg(F.max(F.struct("often", "token")).alias("g"), F.sum("often").alias("typical"))
-    nodes = nodes.select("node", F.col("g.token").alias("group"), "typical").join(apart.select("node", "doc_id", "th", "n"), "node")
-    nodes = written(nodes, "nodes")
+    nodes = nodes.select("node", "g.token", "typical").join(apart.select("node", "doc_id", "th", "n"), "node")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP)))
+    nodes = written(nodes.withColumn("group", F.xxhash64("token", step)).drop("token"), "nodes")
     placed = written(shared.select("node", "token").join(nodes.select("node", "group"), "node"), "placed")
     matrix = written(placed.groupBy("token", "group").agg(F.count("*").alias("members")), "token-groups")
     sizes = nodes.groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("typical", (-F.col("node")).alias("node"))).alias("top"))
@@ -157,22 +162,30 @@ def labelled(docs: DataFrame) -> DataFrame:
     opened = overlap.where((small <= large) & (F.col("overlap") >= F.least(least(n, F.least(small, n)), least(n, F.greatest(large, n)))))
     opened = written(opened.select("node", "group", "n", "leader"), "opened-groups")
 
-    stars = opened.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    stars = written(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars-to-check")
-    links = linked(stars, nodes, docs)
-
-    # Members of an opened group that aren't yet connected with the document.
-    label = written(_labels(nodes.select("node", "group", "n"), links), "labels")
-    kinds = label.select("group", "component").distinct()
-    again = opened.join(label.select("node", "component"), "node").select("node", "n", "group", F.col("component").alias("own"))
-    again = written(again.join(kinds, "group").where("component <> own"), "groups-again")
-    members = label.select("group", "component", F.col("node").alias("other"), F.col("n").alias("m"))
-    pairs = again.join(members, ["group", "component"]).where((F.col("m") >= _needed(n)) & (n >= _needed(F.col("m"))))
-    pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.least(least(n, F.col("m")), least(F.col("m"), n)).alias("needed")).distinct()
-    pairs = written(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
-    mine = pairs.join(placed.select(F.col("node").alias("u"), "token"), "u")
-    common = mine.join(placed.select(F.col("node").alias("v"), "token"), ["v", "token"]).groupBy("u", "v", "needed").agg(F.count("*").alias("common"))
-    more = linked(common.where("common >= needed").select("u", "v"), nodes, docs)
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (u, v), comparing the texts only where sizes and common prefix tokens allow one."""
+        size = nodes.select("node", "n")
+        sized = pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("a")), "u").join(size.select(F.col("node").alias("v"), F.col("n").alias("b")), "v")
+        a, b = F.col("a"), F.col("b")
+        sized = sized.where((a >= _needed(b)) & (b >= _needed(a))).select("u", "v", least(a, b).alias("needed"))
+        both = sized.join(tokens_of.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(tokens_of.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
+        near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("u", "v")
+        return linked(written(near, "pairs-to-compare"), nodes, docs)
+
+    tokens_of = written(placed.groupBy("node").agg(F.collect_list("token").alias("tokens")), "tokens")
+    ordered = (F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+    stars = written(opened.where("node <> leader").withColumn("other", F.col("leader")).select(*ordered).distinct(), "stars")
+    links = compared(stars)
+
+    # Members of an opened group that opened the document's own, and aren't yet connected with it. Of the two sides of a
+    # pair the one of the later component looks for the other.
+    label = _labels(nodes.select("node", F.col("group").alias("own")), links)
+    sides = written(opened.select("node", "group", "n").join(label, "node"), "sides")
+    kinds = sides.select(F.col("own").alias("group"), F.col("group").alias("own"), F.col("component").alias("met")).distinct()
+    again = written(sides.join(kinds, ["group", "own"]).where("component > met"), "groups-again")
+    members = sides.select(F.col("own").alias("group"), F.col("group").alias("own"), F.col("component").alias("met"), F.col("node").alias("other"), F.col("n").alias("m"))
+    pairs = again.join(members, ["group", "own", "met"]).where((F.col("m") >= _needed(n)) & (n >= _needed(F.col("m"))))
+    more = compared(written(pairs.select(*ordered).distinct().join(stars, ["u", "v"], "left_anti"), "pairs"))
 
     found = written(components(links.union(more)), "components")
     each = rows.select("row", "doc_id", "th", "n").join(bounded(copies), "row", "left").withColumn("node", F.coalesce("node", "row"))

@@ -1,6 +1,7 @@
 """License scans: phrases by place, and templates by an exact containment join of token sets.
 
-A text block (a line) matches a template when it holds at least ``threshold`` of the template's distinct tokens.
+A text block matches a template when it holds at least ``threshold`` of the template's distinct tokens. Blocks are the
+lines, and, as notices are wrapped, all runs of half as many words again as the template has, over the ends of lines.
 Tokens are ordered by their frequency over all documents, rare ones first. A block that meets the threshold must share
 one of a template's first ``size - needed + 1`` tokens (prefix), must have ``needed`` tokens at all (length), and from
 its first shared token on enough tokens must be left (position); only blocks that pass are compared.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Customary wordings of license notices.
 TEMPLATES = {
-    "all-rights-reserved": ["copyright all rights reserved"],
+    "all-rights-reserved": ["copyright all rights reserved", "all rights reserved"],
     "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "cc-by-nc": ["licensed under cc by-nc 4.0"],
@@ -69,6 +70,7 @@ class Index:
 
     def __init__(self, templates: dict[str, list[str]], counts: dict[bytes, int], threshold: float):
         self.sets = [(label, frozenset(tokens(t))) for label, several in sorted(templates.items()) for t in several]
+        self.widths = [3 * len(tokens(t)) // 2 for _, several in sorted(templates.items()) for t in several]
         vocabulary = sorted(set().union(*(s for _, s in self.sets)), key=lambda t: (counts.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(vocabulary)}
         self.needed = [math.ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
@@ -92,6 +94,38 @@ class Index:
                         yield label, n / len(words)
                 tried.add(k)
 
+    def runs(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """Label and largest containment of every template that a run of its width in the words holds."""
+        near: dict[int, list[list[int]]] = {}
+        for at, t in enumerate(words):
+            for k, _ in self.by_token.get(t, ()):
+                # Runs that hold this token of the prefix; those of its neighbours that they meet are one span.
+                spans, low, high = near.setdefault(k, []), max(0, at - self.widths[k] + 1), at + self.widths[k]
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+        for k, spans in near.items():
+            label, own = self.sets[k]
+            most = max(self._densest(k, words, low, high) for low, high in spans)
+            if most >= self.needed[k]:
+                yield label, most / len(own)
+
+    def _densest(self, k: int, words: list[bytes], low: int, high: int) -> int:
+        """The most distinct tokens of a template in a run of its width, or 0 if the whole span has too few."""
+        own = self.sets[k][1]
+        if len(own.intersection(words[low:high])) < self.needed[k]:
+            return 0
+        most, left, held = 0, 0, Counter()
+        hits = [(at, t) for at, t in enumerate(words[low:high]) if t in own]
+        for at, t in hits:
+            held[t] += 1
+            while hits[left][0] <= at - self.widths[k]:
+                held[hits[left][1]] -= 1
+                left += 1
+            most = max(most, sum(n > 0 for n in held.values()))
+        return most
+
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9) -> DataFrame:
     """Adds ``n_words, n_base, first_word, last_word, base_labels, labels, score`` to ``doc_id`` of each document.
@@ -116,6 +150,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
                         for label, share in index.matches(line.split()):
                             labels.add(label)
                             score = max(score, share)
+                    for label, share in index.runs(words):
+                        labels.add(label)
+                        score = max(score, share)
                 at = [a for a, _ in base]
                 out.append((len(words), len(base), min(at, default=None), max(at, default=None), ",".join(held), ",".join(sorted(labels)), score))
             kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(),)

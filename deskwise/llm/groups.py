@@ -38,6 +38,20 @@ def _needed(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5)
 
 
+def _least(n: Column, m: Column) -> Column:
+    """Shared prefix tokens of sets of n and m elements whose similarity is 0.8."""
+    return F.ceil(F.lit(4) * (n + m) / 9 - 1e-9) - F.greatest(_needed(n) - 1, _needed(m) - 1)
+
+
+def _group_least(n: Column, small: Column, large: Column) -> Column:
+    """The least of this for any m from small to large.
+
+    It grows with m up to n. From there on it falls, but rises by one where rounding up lets ``_needed`` stand still,
+    which it does at every fifth m; so the least is at the large end or right before it.
+    """
+    return F.least(_least(n, F.least(small, n)), _least(n, F.greatest(large, n)), _least(n, F.greatest(large - 1, n)))
+
+
 def frequencies(docs: DataFrame) -> np.ndarray:
     """How many shingles of all documents, each counted once a document, have a hash of each prefix of SKETCH bits.
 
@@ -153,13 +167,9 @@ def labelled(docs: DataFrame) -> DataFrame:
     overlap = met.groupBy("node", "group").agg(F.count("*").alias("overlap"))
     overlap = overlap.join(nodes.select("node", "n"), "node").join(sizes, "group")
 
-    def least(n: Column, m: Column) -> Column:
-        """Shared prefix tokens of sets of n and m elements whose similarity is 0.8."""
-        return F.ceil(F.lit(4) * (n + m) / 9 - 1e-9) - F.greatest(_needed(n) - 1, _needed(m) - 1)
-
     n = F.col("n")
     small, large = F.greatest("lo", _needed(n)), F.least("hi", F.floor(n * 5 / 4))
-    opened = overlap.where((small <= large) & (F.col("overlap") >= F.least(least(n, F.least(small, n)), least(n, F.greatest(large, n)))))
+    opened = overlap.where((small <= large) & (F.col("overlap") >= _group_least(n, small, large)))
     opened = written(opened.select("node", "group", "n", "leader"), "opened-groups")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -167,7 +177,7 @@ def labelled(docs: DataFrame) -> DataFrame:
         size = nodes.select("node", "n")
         sized = pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("a")), "u").join(size.select(F.col("node").alias("v"), F.col("n").alias("b")), "v")
         a, b = F.col("a"), F.col("b")
-        sized = sized.where((a >= _needed(b)) & (b >= _needed(a))).select("u", "v", least(a, b).alias("needed"))
+        sized = sized.where((a >= _needed(b)) & (b >= _needed(a))).select("u", "v", _least(a, b).alias("needed"))
         both = sized.join(tokens_of.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(tokens_of.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
         near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("u", "v")
         return linked(written(near, "pairs-to-compare"), nodes, docs)

@@ -4,8 +4,10 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from deskwise.llm import licenses
+from deskwise.llm import groups, licenses
+from tests.llm import plain
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "dnl "])
@@ -40,3 +42,27 @@ def test_every_run_is_searched():
         assert found == every
         seen += len(every)
     assert seen > 300
+
+
+def test_pair_at_the_threshold(spark):
+    """36 shingles shared by sets of 37 and 44, of which one is in both prefixes, in groups that others lead."""
+    run = lambda name, n: [f"{name}{i}" for i in range(n)]
+    shared, u, v = run("s", 40), run("u", 39), run("v", 33)
+    texts = [v + shared[:5] + run("f", 3), u + shared[:5] + run("e", 5), ["a", *shared], shared + run("b", 8)]
+    for k in range(4):  # makes all shingles of the runs but the first one of shared frequent
+        for name, piece in (("p", shared[1:21]), ("q", shared[17:]), ("r", u[:21]), ("t", u[17:]), ("w", v[:19]), ("x", v[15:])):
+            texts.append(piece + run(f"{name}{k}-", 80))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert [len(plain.shingles(t)) for _, t in rows[:4]] == [37, 45, 37, 44]
+    assert plain.components(rows)[3] == (3, 44, 2)
+    found = groups.similar_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(map(tuple, found.collect())) == sorted(plain.components(rows))
+
+
+def test_bound_of_a_group(spark):
+    sizes = spark.range(1, 131).select(F.col("id").alias("n"), F.explode(F.sequence(F.floor((4 * F.col("id") + 4) / 5), F.floor(F.col("id") * 5 / 4))).alias("m"))
+    each = sizes.select("n", "m", groups._least(F.col("n"), F.col("m")).alias("least")).collect()
+    least = {(r["n"], r["m"]): r["least"] for r in each}
+    ranges = sizes.join(sizes.withColumnRenamed("m", "hi"), "n").where("m <= hi")
+    for r in ranges.select("n", "m", "hi", groups._group_least(F.col("n"), F.col("m"), F.col("hi")).alias("bound")).collect():
+        assert r["bound"] <= min(least[r["n"], m] for m in range(r["m"], r["hi"] + 1))

@@ -23,7 +23,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S+")
+_DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9@._%+()/:-]+")
 _CORE = re.compile(r"[A-Za-z0-9+(][A-Za-z0-9@._%+()/:-]*[A-Za-z0-9]")
 
 
@@ -71,23 +72,20 @@ def context(text: str, start: int, words: int = 2, chars: int = 40) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit and at least six characters outside the base spans."""
+    """Runs of identifier characters with a digit and at least six characters, as far as they are outside the base spans."""
     out, k = [], 0
-    for m in re.finditer(r"[0-9]", text):
-        if out and m.start() < out[-1][1]:
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() < 6 or not _DIGIT.search(text, m.start(), m.end()):
             continue
-        a, b = m.start(), m.end()
-        while a > 0 and not text[a - 1].isspace() and b - a < 80:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - a < 80:
-            b += 1
-        if b - a >= 80 or not (core := _CORE.search(text, a, b)) or len(core[0]) < 6 or core.end() <= m.start():
-            continue
-        while k < len(taken) and taken[k][2] <= core.start():
+        while k < len(taken) and taken[k][2] <= m.start():
             k += 1
-        if k < len(taken) and taken[k][0] < core.end() or out and core.start() < out[-1][1]:
-            continue
-        out.append((core.start(), core.end()))
+        pieces, at, j = [], m.start(), k
+        while j < len(taken) and taken[j][0] < m.end():
+            pieces.append((at, taken[j][0]))
+            at, j = max(at, taken[j][2]), j + 1
+        for a, b in (*pieces, (at, m.end())):
+            if b - a >= 6 and _DIGIT.search(text, a, b) and (core := _CORE.search(text, a, b)) and len(core[0]) >= 6:
+                out.append(core.span())
     return out
 
 

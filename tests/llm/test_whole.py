@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deskwise.llm import groups, licenses
+from deskwise.llm import groups, licenses, personal
 from tests.llm import plain
 
 
@@ -66,3 +66,18 @@ def test_bound_of_a_group(spark):
     ranges = sizes.join(sizes.withColumnRenamed("m", "hi"), "n").where("m <= hi")
     for r in ranges.select("n", "m", "hi", groups._group_least(F.col("n"), F.col("m"), F.col("hi")).alias("bound")).collect():
         assert r["bound"] <= min(least[r["n"], m] for m in range(r["m"], r["hi"] + 1))
+
+
+@pytest.mark.parametrize("before", ["contact=", "contact,", 'x"', "it's ", "id#", "a[b]", "é", "\u8bf7\u8054\u7cfb", "name=ann;" * 30, "x" * 100 + "=", "me@example.org,"])
+def test_identifiers_inside_tokens(before):
+    text = before + "0612345678" + ";" + "y" * 100
+    at = len(before)
+    assert personal.candidates(text, personal.base_spans(text)) == [(at, at + 10)]
+
+
+def test_contexts_are_learnt_inside_tokens(spark):
+    rows = [(i, f"Please write to contact mail:\nuser{i}@host{i}.example.org or leave {i}") for i in range(20)]
+    rows = [(i, f'{{"kind":"contact","mail":"user{i}@host{i}.example.org"}} {i}') for i in range(20)] + [(30, '{"kind":"contact","mail":"user7(at)host7"}' + ',{"k":"' + "v" * 90 + '"}')]
+    out = {r["doc_id"]: r for r in personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[30]["spans"] == "email:26:40" and out[30]["n_added"] == 1
+    assert all(out[i]["n_added"] == 0 for i in range(20))

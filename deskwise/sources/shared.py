@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where none is set, as in tests, a local master gets a temporary one."""
     context = spark.sparkContext
     if not (found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")

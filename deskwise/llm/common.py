@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskwise.sources.shared import fresh_path, written
 
-__all__ = ["bounded", "components", "fresh_path", "partitions", "salted", "table", "written"]
+__all__ = ["bounded", "components", "free_name", "fresh_path", "partitions", "salted", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,20 +18,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted(left: DataFrame, right: DataFrame, key: str | list[str], by: str, salts: int = 16) -> DataFrame:
-    """Inner join on ``key`` in which a frequent key of ``left`` is dealt to ``salts`` tasks by the column ``by``.
+def salted(left: DataFrame, right: DataFrame, key: str | list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join on ``key`` in which a frequent key of ``left`` is dealt to ``salts`` tasks by the column ``by``.
 
     ``right`` has one row for each key.
     """
     keys = [key] if isinstance(key, str) else key
     left = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """The table, to be broadcast if it has at most ``rows`` rows; a larger one is shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, most: int = 1_000_000, cells: Column | None = None) -> DataFrame:
+    """The table, to be broadcast if it has at most ``most`` rows, or values if ``cells`` gives how many a row has; a
+    larger one is shuffled."""
+    if cells is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    held = df.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table hasn't, upper and lower case being one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(links: DataFrame) -> DataFrame:

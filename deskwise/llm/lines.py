@@ -6,6 +6,13 @@ at most one word between, so all lines of a key are near each other and the earl
 
 A line of n words has 2n + 1 such keys, too many for every line of a corpus. One edit leaves either the first half or
 the second half of the shorter line as it was, so only lines that share a half with another line emit them.
+
+Every line that isn't blank is compared as it is. The edit bound is a fifth of the line, as for other near duplicates
+(a similarity of 0.8): lines of five words and more are compared by one edit, and for shorter ones the bound is none, or
+"Chapter one" would take away "Chapter two".
+
+Documents have one order, by doc_id and a hash of the text, in one number. It needn't be free of collisions: a line is
+told by its place and its own hash, so texts of one doc_id whose numbers are equal don't lose lines to each other.
 """
 
 from __future__ import annotations
@@ -76,29 +83,30 @@ def _one_edit(a: str, b: str) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (same(F.col(a), F.col(b)) + same(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def repeated(docs: DataFrame, min_words: int = 4, near_words: int = 10) -> DataFrame:
-    """``document, line``: every line that repeats an earlier one, as numbers of the document and of the line in it.
+def repeated(docs: DataFrame, min_words: int = 1, near_words: int = 5) -> DataFrame:
+    """``document, line, k1``: every line that repeats an earlier one, as numbers of the document and of the line in it
+    and the line's hash.
 
     Lines of ``min_words`` words are compared as they are, without the white space around them; lines of ``near_words``
-    also by one edit. Earlier: in the order of doc_id, text and line. A line of fewer words never repeats another.
+    also by one edit. Earlier: in the order of doc_id (null first), text hash and line. Blank lines repeat nothing.
     """
     texts = docs.select("doc_id", "text").where("text <> ''")
     split = texts.select(_document().alias("document"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    split = split.select("document", "line", F.btrim("t", F.lit(_SPACE)).alias("t")).withColumn("w", _words(F.col("t"))).where(F.size("w") >= min_words)
+    split = split.select("document", "line", F.btrim("t", F.lit(_SPACE)).alias("t")).where("t <> ''").withColumn("w", _words(F.col("t"))).where(F.size("w") >= min_words)
     lines = written(split.select(_place(F.col("document"), F.col("line")).alias("place"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), F.when(F.size("w") >= near_words, _halves(F.col("w"))).alias("halves")), "lines")
 
     first = written(lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-lines")
-    exact = salted(lines.select("k1", "k2", "place"), first.where("n > 1").select("k1", "k2", "first"), ["k1", "k2"], "place").where("place > first").select("place")
+    exact = salted(lines.select("k1", "k2", "place"), first.where("n > 1").select("k1", "k2", "first"), ["k1", "k2"], "place").where("place > first").select("place", "k1")
 
     half = lines.where("halves is not null").select(F.explode("halves").alias("half"), "k1")
     shared = half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("half")
-    some = salted(half, shared, "half", "k1").select("k1").distinct().join(first, "k1").select(F.col("first").alias("place"))
-    some = some.select(F.expr(f"cast(floor(place / {_NINE}BD) as decimal(31,0))").alias("document"), F.expr(f"cast(place % {_NINE}BD as int)").alias("line"), "place")
-    wanted = some.groupBy("document").agg(F.collect_list(F.struct("line", "place")).alias("wanted"))
-    source = texts.select(_document().alias("document"), "text").join(wanted, "document").dropDuplicates(["document"])
+    some = salted(half, shared, "half", "k1").select("k1").distinct().join(first, "k1").select(F.col("first").alias("place"), "k1")
+    some = some.select(F.expr(f"cast(floor(place / {_NINE}BD) as decimal(31,0))").alias("document"), F.expr(f"cast(place % {_NINE}BD as int)").alias("line"), "place", "k1")
+    wanted = some.groupBy("document").agg(F.collect_list(F.struct("line", "place", "k1")).alias("wanted"))
+    source = texts.select(_document().alias("document"), F.xxhash64("text").alias("th"), "text").join(wanted, "document").dropDuplicates(["document", "th"])
     line = F.btrim(F.get("all", F.col("x.line")), F.lit(_SPACE))
-    near = source.select(F.explode("wanted").alias("x"), F.split("text", "\n").alias("all")).select("x.place", F.xxhash64(line).alias("k1"), _words(line).alias("w"))
-    near = written(near, "near-lines")
+    near = source.select(F.explode("wanted").alias("x"), F.split("text", "\n").alias("all")).select("x.place", "x.k1", line.alias("t"))
+    near = written(near.where(F.xxhash64("t") == F.col("k1")).select("place", "k1", _words(F.col("t")).alias("w")), "near-lines")
 
     hashes = near.select("k1", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     keys = hashes.select("k1", "n", _chain(F.col("h")).alias("front"), _chain(F.reverse("h")).alias("back"))
@@ -108,18 +116,24 @@ def repeated(docs: DataFrame, min_words: int = 4, near_words: int = 10) -> DataF
     earliest = variants.groupBy("key").agg(F.min("place").alias("first"))
     pairs = salted(variants, earliest, "key", "place").where("place > first").groupBy("place").agg(F.min("first").alias("first"))
     checked = pairs.join(near.withColumnRenamed("w", "a"), "place").join(near.select(F.col("place").alias("first"), F.col("w").alias("b")), "first").where(_one_edit("a", "b"))
-    both = exact.union(checked.select("place")).distinct()
-    return both.select(F.expr(f"cast(floor(place / {_NINE}BD) as decimal(31,0))").alias("document"), F.expr(f"cast(place % {_NINE}BD as int)").alias("line"))
+    # A line that is near an earlier one goes, and so do its exact repeats, which are gone already.
+    both = exact.union(checked.select("place", "k1")).distinct()
+    return both.select(F.expr(f"cast(floor(place / {_NINE}BD) as decimal(31,0))").alias("document"), F.expr(f"cast(place % {_NINE}BD as int)").alias("line"), "k1")
 
 
-def without_repeated(docs: DataFrame, min_words: int = 4, near_words: int = 10) -> DataFrame:
+def without_repeated(docs: DataFrame, min_words: int = 1, near_words: int = 5) -> DataFrame:
     """The documents with every line left out that repeats an earlier one; adds ``n_lines`` and ``n_removed``.
 
     The other lines stay as they are. Null and empty texts stay too. Rows that repeat a doc_id and text are one
-    document: each keeps the same lines. Columns of the two names are replaced.
+    document: each keeps the same lines. Columns of the two names are replaced; all others stay, whatever their names.
     """
-    gone = repeated(docs, min_words, near_words).groupBy("document").agg(F.collect_list("line").alias("_gone"))
-    rows = docs.drop("n_lines", "n_removed").withColumn("_document", _document())
-    joined = rows.join(gone.withColumnRenamed("document", "_document"), "_document", "left").withColumn("_all", F.split("text", "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "_gone"), lambda i: F.get("_all", i))
-    return joined.withColumns({"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), "n_lines": F.greatest(F.size("_all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_document", "_gone", "_all")
+    gone = repeated(docs, min_words, near_words).groupBy("document").agg(F.collect_list(F.struct("line", "k1")).alias("gone"))
+    docs = docs.drop("n_lines", "n_removed")
+    rows = docs.select(F.struct("*").alias("own"), _document().alias("document")).join(gone, "document", "left")
+    rows = rows.withColumn("lines", F.split("own.text", "\n"))
+    repeats = F.filter("gone", lambda x: F.xxhash64(F.btrim(F.get("lines", x["line"]), F.lit(_SPACE))) == x["k1"])
+    rows = rows.withColumn("cut", F.coalesce(F.transform(repeats, lambda x: x["line"]), F.array().cast("array<int>")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut"), lambda i: F.get("lines", i))
+    text = F.when(F.size("cut") == 0, F.col("own.text")).otherwise(F.array_join(kept, "\n"))
+    columns = [(text if c.lower() == "text" else F.col("own").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*columns, F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.size("cut").cast("long").alias("n_removed"))

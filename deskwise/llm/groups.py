@@ -17,7 +17,7 @@ again, so a large group of copies costs one comparison a member.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from deskwise.llm import shingles
 from deskwise.llm.common import bounded, components, salted, written
 
+#: From texts to the sorted distinct 64-bit hashes of each one's set.
+Sets = Callable[[list], Iterator[np.ndarray]]
+
 #: The ratio of the steps of sizes.
 STEP = 1.03
 #: log2 of the number of counters of the sketch, and of the slices in which it is summed.
@@ -52,8 +55,8 @@ def _group_least(n: Column, small: Column, large: Column) -> Column:
     return F.least(_least(n, F.least(small, n)), _least(n, F.greatest(large, n)), _least(n, F.greatest(large - 1, n)))
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all documents, each counted once a document, have a hash of each prefix of SKETCH bits.
+def frequencies(docs: DataFrame, sets: Sets = shingles.sets) -> np.ndarray:
+    """How many elements of all documents' sets have a hash of each prefix of SKETCH bits.
 
     Its size is fixed. Tasks send their counts in slices, which are added up in two rounds.
     """
@@ -64,7 +67,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
 
         total = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
-            for found in shingles.sets(batch["text"].to_pylist()):
+            for found in sets(batch["text"].to_pylist()):
                 np.add.at(total, found >> np.uint64(64 - SKETCH), 1)
         some = TaskContext.get().partitionId() % 64
         blobs = [total[k * per : (k + 1) * per].astype("<i8").tobytes() for k in range(1 << SLICES)]
@@ -83,15 +86,15 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return total
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, th, n, d1, d2, prefix``: the size, digest and first shingles of each document's set."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs).astype(np.uint32))
+def prefixes(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
+    """``row, doc_id, th, n, d1, d2, prefix``: the size, digest and first elements of each document's set."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, sets).astype(np.uint32))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for batch in batches:
             n, d1, d2, prefix = [], [], [], []
-            for found in shingles.sets(batch["text"].to_pylist()):
+            for found in sets(batch["text"].to_pylist()):
                 order = np.lexsort((found, often[found >> np.uint64(64 - SKETCH)]))
                 n.append(len(found))
                 d1.append(shingles.mix(found).sum(dtype=np.uint64).astype(np.int64))
@@ -104,7 +107,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(first, "row long, doc_id long, th long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
     """The pairs (u, v) whose sets have similarity 0.8, by comparing their texts.
 
     ``nodes``: node, doc_id, th. Each text travels to the pairs it belongs to; a text of many pairs is split by size.
@@ -122,8 +125,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             keep = []
             for u, v, x, y in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), batch["a"], batch["b"], strict=True):
                 if held[0] != v:
-                    held = v, next(shingles.sets([y.as_py()]))
-                a, b = next(shingles.sets([x.as_py()])), held[1]
+                    held = v, next(iter(sets([y.as_py()])))
+                a, b = next(iter(sets([x.as_py()]))), held[1]
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * same >= 80 * (len(a) + len(b) - same):
                     keep.append((u, v))
@@ -138,12 +141,13 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(bounded(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
     """``doc_id, th, n_shingles, label`` of every row: rows that links of similarity 0.8 connect have one label.
 
     ``th`` is the hash of the text. Texts that are null or without words have no shingles and are linked with nothing.
+    ``sets`` gives the sets to be compared; they are the word shingles unless it is another function of the text.
     """
-    rows = written(prefixes(docs), "shingle-sets")
+    rows = written(prefixes(docs, sets), "shingle-sets")
     classes = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("d1", "d2", "node"), "classes")
     copies = written(salted(rows.select("d1", "d2", "row"), classes, ["d1", "d2"], "row").where("row <> node").select("row", "node"), "copies")
     apart = rows.where("n > 0").join(bounded(copies.select("row")), "row", "left_anti").withColumnRenamed("row", "node")
@@ -165,7 +169,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     # The overlap of each document with each group that has one of its tokens; in its own group with other members.
     met = placed.select("node", "token", F.col("group").alias("own")).join(matrix, "token").where("group <> own or members > 1")
     overlap = met.groupBy("node", "group").agg(F.count("*").alias("overlap"))
-    overlap = overlap.join(nodes.select("node", "n"), "node").join(sizes, "group")
+    overlap = salted(overlap.join(nodes.select("node", "n"), "node"), sizes, "group", "node")
 
     n = F.col("n")
     small, large = F.greatest("lo", _needed(n)), F.least("hi", F.floor(n * 5 / 4))
@@ -180,7 +184,7 @@ def labelled(docs: DataFrame) -> DataFrame:
         sized = sized.where((a >= _needed(b)) & (b >= _needed(a))).select("u", "v", _least(a, b).alias("needed"))
         both = sized.join(tokens_of.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(tokens_of.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
         near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("u", "v")
-        return linked(written(near, "pairs-to-compare"), nodes, docs)
+        return linked(written(near, "pairs-to-compare"), nodes, docs, sets)
 
     tokens_of = written(placed.groupBy("node").agg(F.collect_list("token").alias("tokens")), "tokens")
     ordered = (F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
@@ -202,25 +206,32 @@ def labelled(docs: DataFrame) -> DataFrame:
     return written(each.join(bounded(found), "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("label")), "labelled")
 
 
+def least_ids(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
+    """:func:`similar_components` with ``th``, the hash of each row's text."""
+    rows = labelled(docs, sets)
+    least = written(rows.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "least-ids")
+    found = rows.join(bounded(least), "label", "left")
+    return found.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the least doc_id that links of similarity 0.8 reach.
 
-    Rows that repeat a doc_id stay rows of their own; a component of null ids alone has a null id.
+    Rows that repeat a doc_id stay rows of their own; a component of null ids alone has a null id. An empty table has
+    no rows.
     """
-    rows = labelled(docs)
-    least = written(rows.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "least-ids")
-    return rows.join(bounded(least), "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return least_ids(docs).drop("th")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each component the row of the least doc_id, and then text hash, stays.
 
-    Of rows that repeat a doc_id and text one stays. Texts without words stay.
+    Of rows that repeat a doc_id and text one stays. Texts without words stay. All columns stay, whatever their names.
     """
     rows = labelled(docs)
     first = rows.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    first = first.select(F.coalesce("r.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("r.th").alias("_th"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64("text")})
-    worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
-    stay = keyed.where(worded).join(first, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    return stay.unionByName(keyed.where(~worded)).drop("_id", "_th")
+    first = first.select(F.coalesce("r.doc_id", F.lit(-(1 << 63))).alias("id"), F.col("r.th").alias("th"))
+    keyed = docs.select(F.struct("*").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"))
+    worded = F.coalesce(F.col("own.text").rlike(r"[^ \t-\r]"), F.lit(False))
+    stay = keyed.where(worded).join(first, ["id", "th"]).dropDuplicates(["id", "th"])
+    return stay.unionByName(keyed.where(~worded)).select(*(F.col("own").getField(c).alias(c) for c in docs.columns))

@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Each language has, for every order up to ``ORDER``, a sorted array of n-gram hashes (the symbols' numbers, eight bits
+Each language has, for every order up to ``ORDER``, a sorted array of n-gram hashes (the symbols' numbers, 16 bits
 each) with the discounted probability of the last symbol, and one of contexts with the weight left to the next lower
 order. The prediction is the language of lowest cross-entropy per symbol. Thresholds calibrated on labelled documents
 that the models haven't seen reject texts that no model explains.
@@ -13,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 ORDER = 4
+#: Bits of a symbol's number in an n-gram's 64.
+BITS = 16
 #: Characters scored at once in a task.
-LOT = 400_000
+LOT = 200_000
 #: Documents whose texts a task holds as strings at once.
 ROWS = 512
 _letters: list[np.ndarray] = []
@@ -52,40 +54,43 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _codes(symbols: np.ndarray) -> np.ndarray:
     """The hash of the n-gram of ORDER symbols that ends at each place."""
-    out = np.zeros(len(symbols), np.uint32)
+    out = np.zeros(len(symbols), np.uint64)
     for k in range(ORDER):
-        out[k:] |= symbols[: len(symbols) - k].astype(np.uint32) << np.uint32(8 * k)
+        out[k:] |= symbols[: len(symbols) - k].astype(np.uint64) << np.uint64(BITS * k)
     return out
 
 
 class Model:
-    """The models of all languages; ``alphabet``: the letters with numbers of their own, the rest share 255."""
+    """The models of all languages. ``alphabet``: the letters that were seen in training, numbered from 1; all others
+    share the number ``other``, and what isn't a letter is 0. The lowest order is interpolated with equal shares of all
+    ``other + 1`` numbers."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         letters: dict[str, int] = defaultdict(int)
         for grams in counts.values():
             for gram, n in grams.items():
                 letters[gram[-1]] += n
-        self.alphabet = sorted(sorted((c for c in letters if c != "\0"), key=lambda c: (-letters[c], c))[:254])
+        self.alphabet = sorted(sorted((c for c in letters if c != "\0"), key=lambda c: (-letters[c], c))[: (1 << BITS) - 2])
+        self.other = len(self.alphabet) + 1
         self.languages = sorted(counts)
         self.orders = [self._fit(counts[x]) for x in self.languages]
         self.limits = dict.fromkeys(self.languages, np.inf)
 
     def _fit(self, grams: dict[str, int]) -> list[tuple[np.ndarray, ...]]:
         number = {c: i + 1 for i, c in enumerate(self.alphabet)} | {"\0": 0}
-        code = np.array([sum(number.get(c, 255) << 8 * (ORDER - 1 - i) for i, c in enumerate(g)) for g in grams], np.uint32)
+        code = np.array([sum(number.get(c, self.other) << BITS * (ORDER - 1 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
         count = np.array(list(grams.values()), float)
         code, back = np.unique(code, return_inverse=True)
         count = np.bincount(back, count)
         orders = []
         for n in range(ORDER, 0, -1):
-            context, of = np.unique(code >> np.uint32(8), return_inverse=True)
-            # An n-gram's last symbol is its low byte here, so the context is what stands above it.
+            context, of = np.unique(code >> np.uint64(BITS), return_inverse=True)
+            # An n-gram's last symbol is its low bits here, so the context is what stands above it.
             total, kinds = np.bincount(of, count), np.bincount(of)
             ones, twos = (count == 1).sum(), (count == 2).sum()
             d = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
             orders.append((code, (np.maximum(count - d, 0) / total[of]).astype(np.float32), context, (d * kinds / total).astype(np.float32)))
-            lower = code & np.uint32((1 << 8 * (n - 1)) - 1)  # its continuation count: the n-grams that end in it
+            lower = code & np.uint64((1 << BITS * (n - 1)) - 1)  # its continuation count: the n-grams that end in it
             code, count = np.unique(lower, return_counts=True)
             count = count.astype(float)
         return orders[::-1]
@@ -99,17 +104,17 @@ class Model:
 
         out = np.empty((len(self.languages), len(codes)), np.float32)
         for k, orders in enumerate(self.orders):
-            p = np.full(len(codes), 1 / 256, np.float32)
+            p = np.full(len(codes), 1 / (self.other + 1), np.float32)
             for n, (grams, own, contexts, rest) in enumerate(orders, 1):
-                gram = codes & np.uint32((1 << 8 * n) - 1)
-                p = found(grams, own, gram, 0) + found(contexts, rest, gram >> np.uint32(8), 1) * p
+                gram = codes & np.uint64((1 << BITS * n) - 1)
+                p = found(grams, own, gram, 0) + found(contexts, rest, gram >> np.uint64(BITS), 1) * p
             out[k] = -np.log2(p)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol (language x text) and the number of letters of each text."""
         points, doc, told = _symbols(texts)
-        table = np.full(0x110000, 255, np.uint32)
+        table = np.full(0x110000, self.other, np.uint32)
         table[0] = 0
         table[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
         symbols = table[points]
@@ -206,5 +211,6 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out() & F.col("lang").isNotNull())
 
 
-def held_out():
+def held_out() -> Column:
+    """Whether crc32(doc_id as text) mod 5 is 0; false for a null doc_id."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0, F.lit(False))

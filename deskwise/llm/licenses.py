@@ -43,10 +43,11 @@ def places(text: bytes, phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """(word number, label) of every place of a phrase in words joined by single spaces, with a space at both ends."""
     found = []
     for phrase, label in phrases.items():
-        at = text.find(phrase)
+        at, upto, spaces = text.find(phrase), 0, 0
         while at >= 0:
-            found.append((text.count(b" ", 0, at + 1) - 1, label))
-            at = text.find(phrase, at + 1)
+            spaces += text.count(b" ", upto, at + 1)
+            found.append((spaces - 1, label))
+            upto, at = at + 1, text.find(phrase, at + 1)
     return found
 
 
@@ -130,7 +131,8 @@ class Index:
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9) -> DataFrame:
     """Adds ``n_words, n_base, first_word, last_word, base_labels, labels, score`` to ``doc_id`` of each document.
 
-    ``score`` is the largest containment of a matching template, 1 where a phrase stands, else 0. A null text is empty.
+    ``score`` is the largest containment of a matching template, 1 where a phrase stands, else 0. A null text is empty;
+    an empty table has no rows. The templates, whose index every task gets, are a parameter and bounded by it.
     """
     index = Index(templates, token_counts(docs, set().union(*(tokens(t) for several in templates.values() for t in several))), threshold)
     spaced = {f" {p} ".encode(): label for p, label in phrases.items()}

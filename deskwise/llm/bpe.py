@@ -1,12 +1,13 @@
 """Byte-level BPE inside tasks: whole texts to token ids, with the ids of frequent pieces kept.
 
-The tokenizer's own splitting rule is applied by a regular expression to texts of plain Latin
-characters, and the tokenizer's ids of each piece are remembered; any other text goes to the
-tokenizer whole. Both ways give the tokenizer's ids.
+Where the tokenizer's file names the byte-level splitting rule, that rule is applied by a regular expression to texts of
+plain Latin characters, and the tokenizer's ids of each piece are remembered. Any other text, and every text of a
+tokenizer that splits or normalizes otherwise, goes to the tokenizer whole. Both ways give the tokenizer's ids.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -31,6 +32,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        rule = told.get("pre_tokenizer") or {}
+        byte_level = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space", True)
+        own = [t["content"] for t in told.get("added_tokens", [])]
+        self.quick = byte_level and not told.get("normalizer") and told["model"]["type"] == "BPE" and all("<|" in t for t in own)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -55,7 +62,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _QUICK.issuperset(text) or "<|" in text:
+        if not self.quick or not _QUICK.issuperset(text) or "<|" in text:
             return self._whole(text)
         pieces = _PIECE.findall(text)
         out = list(map(self.known.get, pieces))

@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024)
 def pack(items: DataFrame, capacity: Capacity = Capacity(), together: int = 16_384) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length).
 
-    Pieces are dealt evenly by document; each task packs ``together`` of its pieces at a time, in the order of
+    Pieces are dealt evenly by all that they have, so that a doc_id of many rows is split too; each task packs ``together`` of its pieces at a time, in the order of
     doc_id and piece, so a repeated task gives the same sequences, and memory doesn't grow with the input. At most
     the last few sequences of each such lot are less full than one packing of everything would leave them.
     Pieces as long as a sequence fill one each. A piece that no empty sequence can hold is an error.
@@ -127,7 +127,8 @@ def pack(items: DataFrame, capacity: Capacity = Capacity(), together: int = 16_3
             yield from lot().to_batches()
 
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return items.repartition(partitions(items.sparkSession), "doc_id").sortWithinPartitions("doc_id", "piece").mapInArrow(packed, schema)
+    plain = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in items.columns]
+    return items.repartition(partitions(items.sparkSession), *plain).sortWithinPartitions(*plain).mapInArrow(packed, schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), end_id: int = 2) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from deskwise.llm import decontaminate, groups, hosts, language, licenses, lines, packing, personal, spots, token_codes
@@ -15,11 +15,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """The folder of public tokenizers is a setting; its package knows the default one."""
-    if folder := os.environ.get("PUBLIC_TOKENIZERS"):
-        return f"{folder}/{name}"
-    import public_tokenizers
-
+    """Where the package of public tokenizers has a file."""
     return public_tokenizers.path(name)
 
 

@@ -64,8 +64,9 @@ def token(levels: list[dict[str, bytes]], at: int) -> int:
 def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block: int = 1 << 15) -> None:
     """Writes the ids of every text, each document's followed by ``end_id``, in ascending doc_id order.
 
-    A block takes documents until it has ``block`` tokens. Null or empty texts have the end token alone; a null
-    doc_id comes first; the order of equal doc_ids is that of their texts.
+    A block takes documents until it has ``block`` tokens. Null or empty texts have the end token alone; null doc_ids
+    come first; the order of equal doc_ids, which are dealt to several tasks if they are many, is that of a hash of
+    their texts. An empty table gives files without blocks.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,8 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, blo
         if found:
             yield full()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     ordered.mapInArrow(blocks, BLOCK_TYPE).write.option("compression", "zstd").parquet(path)
 
 
@@ -122,16 +124,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_blocks(spark, path).select("shard_start", "before", "docs", "levels").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_tokens(wanted: DataFrame, path: str) -> DataFrame:
-    """``doc_id, position, token_id`` for each wanted (doc_id, position); null where there is no such token."""
+def read_tokens(wanted: DataFrame, path: str, lot: int = 4096) -> DataFrame:
+    """``doc_id, position, token_id`` for each wanted (doc_id, position); null where there is no such token.
+
+    Requests are gathered by block, at most about ``lot`` of a block in a row, and a block's codes are read once for such
+    a row, of which only the wanted tokens are decoded. Requests for a doc_id that several documents have are answered
+    from each of them; a null doc_id has no token.
+    """
     spark = wanted.sparkSession
-    places = spark.read.schema(BLOCK_TYPE).parquet(path).select("shard", "block", F.explode("docs").alias("d")).select("shard", "block", "d.*")
-    asked = wanted.select("doc_id", "position").join(places, "doc_id", "left")
+    blocks = spark.read.schema(BLOCK_TYPE).parquet(path)
+    places = blocks.select("shard", "block", F.explode("docs").alias("d")).select("shard", "block", "d.*")
+    asked = wanted.select("doc_id", F.col("position").cast("long").alias("position")).join(places, "doc_id", "left")
+    there = (F.col("position") >= 0) & (F.col("position") < F.col("n_tokens"))
+    none = asked.where(~F.coalesce(there, F.lit(False))).select("doc_id", "position", F.lit(None).cast("long").alias("token_id"))
+    asked = asked.where(there).select("shard", "block", "doc_id", "position", (F.col("start") + F.col("position")).alias("at"))
+    sizes = asked.groupBy("shard", "block").agg(F.ceil(F.count("*") / lot).cast("int").alias("lots"))
+    dealt = asked.join(sizes, ["shard", "block"]).withColumn("lot", F.pmod(F.xxhash64("at"), F.col("lots")))
+    requests = dealt.groupBy("shard", "block", "lot").agg(F.collect_list(F.struct("doc_id", "position", "at")).alias("asked"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [token(r["levels"], r["start"] + r["position"]) if r["levels"] is not None and 0 <= r["position"] < r["n_tokens"] else None for r in batch.select(["levels", "start", "position", "n_tokens"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["position"], pa.array(found, pa.int64())], names=["doc_id", "position", "token_id"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found = [token(row["levels"], x["at"]) for x in row["asked"]]
+                arrays = [[x["doc_id"] for x in row["asked"]], [x["position"] for x in row["asked"]], found]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["doc_id", "position", "token_id"])
 
-    codes = spark.read.schema(BLOCK_TYPE).parquet(path).select("shard", "block", "levels")
-    return asked.join(codes, ["shard", "block"], "left").select("doc_id", F.col("position").cast("long"), "start", "n_tokens", "levels").mapInArrow(ids, "doc_id long, position long, token_id long")
+    read = requests.join(blocks.select("shard", "block", "levels"), ["shard", "block"]).select("asked", "levels")
+    return read.mapInArrow(ids, "doc_id long, position long, token_id long").unionByName(none)

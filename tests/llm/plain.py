@@ -19,9 +19,8 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def components(rows):
-    """Component of each (doc_id, text): the least doc_id."""
-    sets = [(d, shingles(t)) for d, t in rows]
+def joined(sets):
+    """(id, size, component) of each (id, set): the least id that links of similarity 0.8 reach."""
     root = list(range(len(sets)))
 
     def find(x):
@@ -44,6 +43,11 @@ def components(rows):
     return out
 
 
+def components(rows):
+    """Component of each (doc_id, text) by its shingles."""
+    return joined([(d, shingles(t)) for d, t in rows])
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -82,13 +86,13 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i + (len(a) > len(b)) :] == b[i + (len(b) > len(a)) :]
 
 
-def deduped(rows, least=4, near=10):
+def deduped(rows, least=1, near=5):
     """(doc_id, text without repeated lines, lines removed), rows in order of doc_id; ids distinct."""
     split = lambda line: re.split("[ \t\r\f\v]+", line.strip(" \t\r\f\v"))
     first = {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            if len(split(line)) >= least:
+            if line.strip(" \t\r\f\v") and len(split(line)) >= least:
                 first.setdefault(line.strip(" \t\r\f\v"), (d, i))
     seen, gone = defaultdict(list), set()
     for line in sorted(first, key=first.get):
@@ -106,3 +110,53 @@ def deduped(rows, least=4, near=10):
                 kept.append(line)
         out.append((d, "\n".join(kept) if t is not None else None, len(lines) - len(kept) if t is not None else 0))
     return out
+
+
+def found_items(docs, items):
+    """(doc, item) pairs, by number, of which the document holds the item: 11 of 13 consecutive words equal, or of a
+    shorter item's words the same share rounded up."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = set()
+    for i, a in enumerate(map(split, docs)):
+        for j, b in enumerate(map(split, items)):
+            window = min(13, len(b))
+            least = -(-11 * window // 13)
+            for start in range(-len(b), len(a)):
+                equal = [0 <= start + k < len(a) and a[start + k] == w for k, w in enumerate(b)]
+                if b and any(sum(equal[k : k + window]) >= least for k in range(len(b) - window + 1)):
+                    out.add((i, j))
+    return out
+
+
+def spots(text, anchors, also=lambda word: False, chain=2):
+    """Spot signatures as tuples: the anchor, or None for the text's start, and the content words that follow."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    follow = lambda i: tuple([w for w in words[i:] if w not in anchors][:chain])
+    found = {(None, *follow(0))} if words else {text} if text else set()
+    return found | {(w, *follow(i + 1)) for i, w in enumerate(words) if w in anchors or also(w)}
+
+
+def kneser_ney(texts, order):
+    """p(symbol, context) of an interpolated model over the symbols of texts; each text is a list with its padding."""
+    top = defaultdict(int)
+    for symbols in texts:
+        for i in range(order - 1, len(symbols)):
+            top[tuple(symbols[i - order + 1 : i + 1])] += 1
+    level = {order: dict(top)}
+    for n in range(order - 1, 0, -1):
+        ends = defaultdict(set)
+        for gram in level[n + 1]:
+            ends[gram[1:]].add(gram[0])
+        level[n] = {g: len(x) for g, x in ends.items()}
+    discount = {n: min(0.95, max(0.1, sum(c == 1 for c in g.values()) / max(1, sum(c == 1 for c in g.values()) + 2 * sum(c == 2 for c in g.values())))) for n, g in level.items()}
+
+    def p(symbol, context, size):
+        value = 1 / size
+        for n in range(1, order + 1):
+            before = tuple(context[len(context) - n + 1 :])
+            same = {g: c for g, c in level[n].items() if g[:-1] == before}
+            if total := sum(same.values()):
+                value = max(same.get((*before, symbol), 0) - discount[n], 0) / total + discount[n] * len(same) / total * value
+        return value
+
+    return p

@@ -47,3 +47,14 @@ def test_odd_rows(spark, small, odd, k):
         kept = {r["n_chars"] for r in out.collect()} if name != "line dedup" else None
         assert kept is None or kept <= set(range(len(ODD)))
     assert stage(spark, odd.limit(0), small).count() == 0
+
+
+def test_clashing_columns_stay(spark, small, odd):
+    """Names that stages and operators use themselves, in other case too, keep the caller's values."""
+    names = {"score": "Score", "lang_pred": "Lang_Pred", "accepted": "ID", "n_lines": "N_Lines"}
+    docs = odd.withColumnsRenamed(names).selectExpr("*", "7.5D as _id", "'t' as th", "'g' as _gone", "3 as _all", "n_chars as own", "n_chars as k")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert (r["Score"], r["Lang_Pred"], r["ID"], r["N_Lines"], r["_id"], r["th"], r["_gone"], r["_all"]) == (1.5, "x", True, 0, 7.5, "t", "g", 3) and r["own"] == r["k"]

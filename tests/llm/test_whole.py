@@ -60,7 +60,7 @@ def test_pair_at_the_threshold(spark):
 
 
 def test_bound_of_a_group(spark):
-    sizes = spark.range(1, 131).select(F.col("id").alias("n"), F.explode(F.sequence(F.floor((4 * F.col("id") + 4) / 5), F.floor(F.col("id") * 5 / 4))).alias("m"))
+    sizes = spark.range(1, 301).select(F.col("id").alias("n"), F.explode(F.sequence(F.floor((4 * F.col("id") + 4) / 5), F.floor(F.col("id") * 5 / 4))).alias("m"))
     each = sizes.select("n", "m", groups._least(F.col("n"), F.col("m")).alias("least")).collect()
     least = {(r["n"], r["m"]): r["least"] for r in each}
     ranges = sizes.join(sizes.withColumnRenamed("m", "hi"), "n").where("m <= hi")
@@ -68,6 +68,20 @@ def test_bound_of_a_group(spark):
         assert r["bound"] <= min(least[r["n"], m] for m in range(r["m"], r["hi"] + 1))
 
 
+def test_bound_of_large_groups():
+    """The same rule in integers, for sizes up to 1,500 and every range that a step of sizes can hold."""
+    needed = lambda n: (4 * n + 4) // 5
+    least = lambda n, m: -(-4 * (n + m) // 9) - max(needed(n) - 1, needed(m) - 1)
+    for n in range(1, 1501):
+        low, high = needed(n), n * 5 // 4
+        values = [least(n, m) for m in range(low, high + 1)]
+        for a in range(low, high + 1):
+            most = values[a - low]
+            for b in range(a, min(high, int(a * groups.STEP) + 1) + 1):
+                most = min(most, values[b - low])
+                assert min(least(n, min(a, n)), least(n, max(b, n)), least(n, max(b - 1, n))) <= most
+
+
 @pytest.mark.parametrize("before", ["contact=", "contact,", 'x"', "it's ", "id#", "a[b]", "é", "\u8bf7\u8054\u7cfb", "name=ann;" * 30, "x" * 100 + "=", "me@example.org,"])
 def test_identifiers_inside_tokens(before):
     text = before + "0612345678" + ";" + "y" * 100

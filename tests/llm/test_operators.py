@@ -352,7 +352,7 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def test_fingerprints(results, texts):
+def test_fingerprints(spark, results, texts):
     """Against plain sets of words: sizes, likeness, near duplicates, and equal fingerprints for equal sets alone."""
     found = {r["doc_id"]: r for r in results("op9_spot_signatures")}
     whole = [t for _, t in texts]
@@ -369,12 +369,14 @@ def test_fingerprints(results, texts):
         assert r["near_next"] == jaccard(own[k], own[(k + 1) % len(own)])
         assert prints.setdefault(r["fingerprint"], own[k]) == own[k]
     assert len(prints) == len(set(map(frozenset, own)))
-    assert {d: r["near_id"] for d, r in found.items()} == {d: c for d, _, c in plain.joined([(d, s) for (d, _), s in zip(texts, own, strict=True)])}
+    near = spots.fingerprints(spark.createDataFrame(texts, "doc_id long, text string"), near=True).collect()
+    assert {r["doc_id"]: r["near_id"] for r in near} == {d: c for d, _, c in plain.joined([(d, s) for (d, _), s in zip(texts, own, strict=True)])}
+    assert all(found[r["doc_id"]].asDict().items() <= r.asDict().items() for r in near)
     assert np.mean([r["near_edited"] for r in found.values()]) > 0.5 > 0.05 > np.mean([r["near_next"] for r in found.values()])
 
 
 def test_fingerprints_odd(spark, odd):
-    out = spots.fingerprints(odd).collect()
+    out = spots.fingerprints(odd, near=True).collect()
     assert len(out) == len(ODD)
     assert sorted(r["n_chars"] for r in out) == sorted(len(t or "") for _, t in ODD)
     assert {r["near_id"] for r in out if r["doc_id"] in (4, 5)} == {4, 5} and all(r["fingerprint"] == "" for r in out if r["doc_id"] in (4, 5))

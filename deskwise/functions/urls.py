@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -55,10 +55,16 @@ def chunk_id(text: str) -> Column:
     return F.concat(F.lit("chunk-"), F.md5(F.col(text)))
 
 
+def route_errors(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
+    """The pages that no rule of :func:`route_url` fits, with ``reason``."""
+    reason = F.when(F.coalesce(F.trim(url), F.lit("")) == "", "no address").otherwise(F.concat(F.lit("no rule for "), F.col(url)))
+    return pages.where(route_url(url, rules).isNull()).withColumn("reason", reason)
+
+
 def route_url(url: str, rules: list[tuple[str, str, str]]) -> Column:
     """``source_type, doc_type`` of the first rule (pattern, source type, document type) that the address matches; null
     if there is none."""
     out = F.lit(None).cast("struct<source_type: string, doc_type: string>")
     for pattern, source, kind in reversed(rules):
-        out = F.when(F.col(url).rlike(pattern), F.struct(F.lit(source).alias("source_type"), F.lit(kind).alias("doc_type"))).otherwise(out)
+        out = F.when(F.coalesce(F.col(url).rlike(pattern), F.lit(False)), F.struct(F.lit(source).alias("source_type"), F.lit(kind).alias("doc_type"))).otherwise(out)
     return out

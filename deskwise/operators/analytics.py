@@ -74,6 +74,21 @@ def answer_sources(answers: DataFrame, used: DataFrame, chunks: DataFrame, docs:
     return joined.select("answer_id", F.coalesce(only("c"), only("l"), F.slice(F.array(F.struct(F.lit("").alias("url"), F.lit("").alias("label"))), 1, 0)).alias("sources"))
 
 
+def foreign_flags(answers: DataFrame, used: DataFrame, chunks: DataFrame, host: str) -> DataFrame:
+    """``answer_id, is_foreign`` of each answer (answer_id, urls): whether one of its own links (an array), or the path
+    of a chunk that it used, leads to another host. The chunks' flag is aggregated before it is joined."""
+    by_chunk = used.join(chunks.select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id").where(foreign("file_path", host))
+    flagged = by_chunk.select(F.col("message_id").alias("answer_id"), F.lit(True).alias("_f")).distinct()
+    own = F.exists(F.coalesce("urls", F.array().cast("array<string>")), lambda u: u.ilike("http%") & ~u.ilike(f"%{host}%"))
+    return answers.join(flagged, "answer_id", "left").select("answer_id", (F.coalesce(own, F.lit(False)) | F.coalesce("_f", F.lit(False))).alias("is_foreign"))
+
+
+def link_lists(links: DataFrame) -> DataFrame:
+    """``answer_id, urls``: the http links of each answer (answer_id, pos, url) in their order."""
+    some = links.where(F.col("url").ilike("http%")).groupBy("answer_id")
+    return some.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))
+
+
 def overview(messages: DataFrame, users: DataFrame, sessions: DataFrame, facts: DataFrame, as_of: Column | None = None) -> DataFrame:
     """One row of totals: users, questions, those of the day and of the 30 days up to ``as_of``, open statuses.
 

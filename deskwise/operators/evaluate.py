@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskwise.sources.shared import written
+
 KS, NDCG_KS = (1, 3, 5, 10), (5, 10)
 METRICS = ("hit_rate@1", "hit_rate@5", "hit_rate@10", "mrr", *(f"recall@{k}" for k in KS), *(f"precision@{k}" for k in KS), *(f"ndcg@{k}" for k in NDCG_KS))
 
@@ -56,19 +58,28 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     return means.unpivot([], list(METRICS), "metric", "value")
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``i``, the row's number from 0 in an order. Tasks sort ranges; the counts of the ranges come together."""
+    placed = written(rows.orderBy(order).withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))
+    before = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
+    return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("i", F.col("_before") + at).drop("_m", "_p", "_before")
+
+
 def bootstrap_ci(per_query: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """``metric, mean, low, high``: linear percentiles of the means of ``n_boot`` samples with replacement.
 
-    Draw i of sample b is the row whose number is the first eight hex digits of md5(b|i|seed) modulo the rows. Rows
-    keep one order, that of query_id; the draws, not the metrics, are what is shuffled.
+    Draw i of sample b is the row whose number is the first eight hex digits of md5(b|i|seed) modulo the rows, numbered
+    in the order of query_id. Draws meet the metrics of their row once, as one row of columns.
     """
-    long = per_query.unpivot(["query_id"], list(METRICS), "metric", "value")
-    rows = per_query.select("query_id", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("i"))
+    rows = _numbered(per_query, "query_id")
     n = per_query.agg(F.count("*").alias("n"))
     draws = per_query.sparkSession.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).alias("d"))
     digest = F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("d").cast("string"), F.lit(str(seed)))), 1, 8)
     picks = draws.select("b", (F.conv(digest, 16, 10).cast("long") % F.col("n")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
-    weighted = picks.join(rows, "i").join(long, "query_id").groupBy("metric", "b").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+    means = picks.join(rows, "i").groupBy("b").agg(*((F.sum(F.col(f"`{m}`") * F.col("times")) / F.sum("times")).alias(m) for m in METRICS))
+    weighted = means.unpivot(["b"], list(METRICS), "metric", "mean")
     tail = (1 - ci) / 2
     ends = weighted.groupBy("metric").agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
     return mean_metrics(per_query).withColumnRenamed("value", "mean").join(ends, "metric", "left")

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskwise.sources import io
+from deskwise.sources.shared import written
+
 #: Where a sentence ends, and blank lines between paragraphs.
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[А-ЯЁA-Z])|(?<=[;:])\n(?=—)")
 _PARAGRAPH = re.compile(r"\n\s*\n")
@@ -106,6 +109,16 @@ def embed(chunks: DataFrame, dimension: int = 64, model: Callable[[], Callable[[
     return chunks.withColumn("embedding", counted(hashes))
 
 
+def store_documents(docs: DataFrame, path: str, prepare: Callable[[DataFrame], DataFrame] | None = None, encode: Callable[[DataFrame], DataFrame] = embed) -> DataFrame:
+    """Documents (doc_id, url, title, source_type, text_content) to the store: chunked, embedded and appended by source
+    type. ``doc_id, url, title, status, reason, chunks`` of every document; one that is blank or has no chunks is skipped.
+    """
+    prepare = prepare or (lambda rows: sentence_chunks(rows, text="text_content"))
+    filled = docs.where(F.coalesce(F.trim("text_content"), F.lit("")) != "")
+    chunks = written(encode(prepare(filled.select("doc_id", "text_content"))), "chunks")
+    return io.store_documents(docs, chunks, path)
+
+
 def new_keys(candidates: DataFrame, stored: DataFrame, key: str, order: str) -> DataFrame:
     """Candidates whose key isn't stored; of those that share one the last by ``order`` stays."""
     fresh = candidates.join(stored.select(key), key, "left_anti")
@@ -113,10 +126,13 @@ def new_keys(candidates: DataFrame, stored: DataFrame, key: str, order: str) ->
     return fresh.withColumn("_k", last).where("_k = 1").drop("_k")
 
 
-def incremental(docs: DataFrame, stored: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def incremental(docs: DataFrame, stored: DataFrame, force: bool = False, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The store's next version and ``source_type, total, indexed, skipped``. Documents (doc_id, source_type, ...) that
-    are stored are skipped, or with ``force`` replaced."""
-    fresh = docs.dropDuplicates(["doc_id"]) if force else docs.dropDuplicates(["doc_id"]).join(stored.select("doc_id"), "doc_id", "left_anti")
+    are stored are skipped, or with ``force`` replaced. Of rows that share a doc_id the last stays, in the order of the
+    column ``order`` if it is given, else of the rows in the table."""
+    placed = docs.withColumn("_place", F.monotonically_increasing_id() if order is None else F.col(order))
+    last = placed.groupBy("doc_id").agg(F.max_by(F.struct(*(c for c in docs.columns if c != "doc_id")), "_place").alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
+    fresh = last if force else last.join(stored.select("doc_id"), "doc_id", "left_anti")
     kept = stored.join(docs.select("doc_id"), "doc_id", "left_anti") if force else stored
     marked = docs.select("doc_id", "source_type").join(fresh.select("doc_id", F.lit(1).alias("_n")), "doc_id", "left")
     summary = marked.groupBy("source_type").agg(F.count("*").alias("total"), F.count("_n").alias("indexed"), F.count_if(F.col("_n").isNull()).alias("skipped"))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are compared with the corpus in blocks of this many.
-BLOCK = 4096
+#: Queries, and rows of the corpus, that are compared at once.
+BLOCK, PIECE = 1024, 4096
 
 
 def cosine(a: str, b: str) -> Column:
@@ -24,54 +24,53 @@ def _ranked(rows: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return rows.withColumn("pos", F.row_number().over(window).cast("long") - 1).where(F.col("pos") < k)
 
 
+def _blocks(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """``rows``, an array of about ``size`` rows as structs, for each block, and how many blocks there are at most."""
+    n = max(1, -(-rows.count() // size))
+    block = F.pmod(F.xxhash64(key), F.lit(n)).alias("block")
+    return rows.groupBy(block).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows"), n
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, workspace: str | None = None, threshold: float | None = None, most: int | None = None) -> DataFrame:
     """``query_id, id, score, pos``: the k nearest rows of the corpus (id, embedding) by cosine, ties by id.
 
-    Queries (query_id, embedding) reach the driver in blocks of at most ``BLOCK``, so what is broadcast has a bound and
-    a larger set takes more passes. Each batch of the corpus is one matrix product a block, of which only the k best of
-    a query leave the task. Rows without length are no match. ``most`` limits k, ``threshold`` is exclusive.
+    Queries (query_id, embedding) and corpus are cut into blocks of ``BLOCK`` and ``PIECE`` rows, and each block of the
+    one meets each of the other in a matrix product, of which only the k best of a query leave the task. A single block
+    of queries is broadcast, its size being known; more of them are dealt by Spark like the corpus, and nothing passes
+    through the driver. Rows without length are no match. ``most`` limits k, ``threshold`` is exclusive.
     """
     k = k if most is None else min(k, most)
     if workspace is not None:
         corpus = corpus.where(F.col("workspace") == workspace)
-    context, kind = corpus.sparkSession.sparkContext, "query_id long, id string, score double"
 
-    def unit(rows: np.ndarray) -> np.ndarray:
+    def unit(vectors: pa.Array, n: int) -> np.ndarray:
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
         length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return np.divide(rows, length, out=np.full_like(rows, np.nan), where=length > 0)
 
-    def found(block: list) -> DataFrame:
-        sent = context.broadcast(([q["query_id"] for q in block], unit(np.array([q["embedding"] for q in block], float))))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vectors = sent.value
-            for batch in batches:
-                batch = batch.filter(batch["embedding"].is_valid())
-                if not batch.num_rows:
-                    continue
-                ids = np.array(batch["id"].to_pylist(), object)
-                rows = unit(batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1))
-                scores = np.round(vectors @ rows.T, 9)
-                for name, row in zip(names, scores, strict=True):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                names, vectors = batch["asked"].slice(at, 1).flatten().flatten()
+                ids, rows = batch["rows"].slice(at, 1).flatten().flatten()
+                scores = np.round(unit(vectors, len(names)) @ unit(rows, len(ids)).T, 9)
+                of, found = [], []
+                for i, row in enumerate(scores):
                     some = np.flatnonzero(~np.isnan(row) if threshold is None else row > threshold)
                     if len(some) > k:
                         least = np.partition(row[some], len(some) - k)[len(some) - k]
                         some = some[row[some] >= least]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(ids[some].tolist(), pa.string()), pa.array(row[some], pa.float64())], names=["query_id", "id", "score"])
-
-        return corpus.select(F.col("id").cast("string").alias("id"), "embedding").mapInArrow(best, kind)
-
-    out, block = None, []
-    rows = queries.select(F.col("query_id").cast("long"), "embedding").toLocalIterator()
-    for q in rows:
-        block.append(q)
-        if len(block) == BLOCK:
-            out = found(block) if out is None else out.unionByName(found(block))
-            block = []
-    if block or out is None:
-        last = found(block) if block else corpus.sparkSession.createDataFrame([], kind)
-        out = last if out is None else out.unionByName(last)
-    return _ranked(out, k, F.col("score").desc(), F.col("id"))
+                    of.append(np.full(len(some), i))
+                    found.append(some)
+                of, found = np.concatenate(of), np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), ids.take(pa.array(found)), pa.array(scores[of, found], pa.float64())], names=["query_id", "id", "score"])
+
+    asked, n = _blocks(queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding"), "query_id", BLOCK)
+    pieces, _ = _blocks(corpus.where("embedding is not null").select(F.col("id").cast("string").alias("id"), "embedding"), "id", PIECE)
+    asked = asked.withColumnRenamed("rows", "asked")
+    pairs = pieces.crossJoin(F.broadcast(asked) if n == 1 else asked)
+    found = pairs.mapInArrow(best, "query_id long, id string, score double")
+    return _ranked(found, k, F.col("score").desc(), F.col("id"))
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 10, workspace: str | None = None) -> DataFrame:

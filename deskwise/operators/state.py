@@ -146,11 +146,15 @@ def chat_context(turns: DataFrame) -> DataFrame:
 
 
 def rolling_context(messages: DataFrame, chars: int = 2000) -> DataFrame:
-    """``id, context``: after each message, the last ``chars`` characters of its session. No more messages are held than
-    can be seen, each having a character and a line end at least."""
-    window = Window.partitionBy("session_id").orderBy("id").rowsBetween(-chars // 2, 0)
-    lines = F.collect_list(F.concat(F.col("role"), F.lit(": "), F.right("content", F.lit(chars)))).over(window)
-    return messages.select("id", F.right(F.array_join(lines, "\n"), F.lit(chars)).alias("context"))
+    """``id, context``: after each message, the last ``chars`` characters of its session.
+
+    A running length says which messages reach into those characters, and only these are held for a message.
+    """
+    line = F.concat(F.col("role"), F.lit(": "), F.right("content", F.lit(chars)))
+    so_far = F.sum(F.length(line) + 1).over(Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = messages.select("session_id", "id", line.alias("line"), so_far.alias("so_far"))
+    seen = Window.partitionBy("session_id").orderBy("so_far").rangeBetween(-chars - 1, 0)
+    return rows.select("id", F.right(F.array_join(F.collect_list("line").over(seen), "\n"), F.lit(chars)).alias("context"))
 
 
 def trace_timeline(traces: DataFrame) -> DataFrame:

@@ -72,6 +72,31 @@ def foreign_answers(t: Tables) -> DataFrame:
     return A.foreign_sources(t.used_chunks, t.doc_chunks, t.answer_links, HOST)
 
 
+@query(
+    "j3_foreign_flags",
+    f"""select answer_id, exists (select 1 from answer_links l where l.answer_id = q.answer_id and url ilike 'http%' and not url ilike '%{HOST}%')
+    or exists (select 1 from used_chunks u join doc_chunks d on d.id = u.chunk_id where u.message_id = q.answer_id and file_path ilike 'http%' and not file_path ilike '%{HOST}%') as is_foreign from questions_answers q""",
+    ("questions_answers", "used_chunks", "doc_chunks", "answer_links"),
+)
+def foreign_flags(t: Tables) -> DataFrame:
+    answers = t.questions_answers.select("answer_id").join(A.link_lists(t.answer_links), "answer_id", "left")
+    return A.foreign_flags(answers, t.used_chunks, t.doc_chunks, HOST)
+
+
+@query("g5_source_lists", "select answer_id, list(url order by pos) as urls from answer_links where url ilike 'http%' group by 1", ("answer_links",))
+def source_lists(t: Tables) -> DataFrame:
+    return A.link_lists(t.answer_links)
+
+
+@query(
+    "j5_user_statistics",
+    "select u.id, count(m.id) as questions from users u left join sessions s on s.user_id = u.id left join messages m on m.session_id = s.id and m.role = 'user' group by 1",
+    ("users", "sessions", "messages"),
+)
+def user_statistics(t: Tables) -> DataFrame:
+    return A.user_activity(t.users, t.sessions, t.messages).select("id", "questions")
+
+
 @query("p4_host_filter", f"select id, file_path from doc_chunks where file_path ilike 'http%' and not file_path ilike '%{HOST}%'", ("doc_chunks",))
 def host_filter(t: Tables) -> DataFrame:
     return t.doc_chunks.where(A.foreign("file_path", HOST)).select("id", "file_path")

@@ -79,6 +79,13 @@ def links(t: Tables) -> DataFrame:
     return H.links(t.pages).select("page_id", "pos", "link")
 
 
+@query("u4_listed_links", "select distinct concat('https://n.example.org/f/', source, '.pdf') as link from documents where lang <> 'en'", ("documents",))
+def listed_links(t: Tables) -> DataFrame:
+    pages = composed(t, '<a href="/f/', "source", '.pdf">a</a><a href="/f/', "source", '.pdf">again</a><a href="/g/', "lang", '.html">b</a>')
+    allowed = t.documents.where("lang <> 'en'").select(F.concat(F.lit("https://n.example.org/f/"), "source", F.lit(".pdf")).alias("link")).distinct()
+    return H.allowed_links(pages, allowed)
+
+
 @query("u4_distinct_links")
 def distinct_links(t: Tables) -> DataFrame:
     return H.allowed_links(t.pages, suffix="")
@@ -253,6 +260,16 @@ def read_tables(t: Tables) -> DataFrame:
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+SCHEMAS = {"conversations": "conv_id long, turn long, role string, text string", "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", "benchmark": "item_id long, text string"}
+
+
+@query("s1_declared_tables", "select 'conversations' as name, count(*) as rows, max(conv_id) as most from conversations union all select 'events', count(*), max(event_id) from events union all select 'benchmark', count(*), max(item_id) from benchmark", ("conversations", "events", "benchmark"))
+def declared_tables(t: Tables) -> DataFrame:
+    found = io.read_tables(t.spark, t.sf_dir, SCHEMAS)
+    out = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.max(df.columns[0]).alias("most")) for name, df in found.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("s2_read_items", "select concat('i', doc_id) as id, text as question from documents", ("documents",))
 def read_items(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "items")
@@ -285,6 +302,14 @@ def store_documents(t: Tables) -> DataFrame:
     return io.store_documents(docs, chunks, fresh_path(t.spark, "chunks")).select("doc_id", "status", "reason", F.col("chunks").cast("long").alias("chunks"))
 
 
+@query("s6_stored_vectors", "select doc_id, source_type, 64 as dimension from typed where doc_id % 6 <> 0 and trim(text) <> ''", ("documents",), {"typed": TYPED})
+def stored_vectors(t: Tables) -> DataFrame:
+    path = fresh_path(t.spark, "store")
+    docs = typed(t).select("doc_id", F.lit("u").alias("url"), F.lit("t").alias("title"), "source_type", F.when(F.col("doc_id") % 6 == 0, " ").otherwise(F.col("text")).alias("text_content"))
+    I.store_documents(docs, path)
+    return t.spark.read.parquet(path).select("doc_id", "source_type", F.size("embedding").alias("dimension")).distinct()
+
+
 @query("s7_write_results", "select lang, count(*) as n from documents group by 1", ("documents",))
 def write_results(t: Tables) -> DataFrame:
     counts = t.documents.groupBy("lang").agg(F.count("*").alias("n"))

@@ -79,6 +79,11 @@ def workspace_topk(t: Tables) -> DataFrame:
     return vectors(t, workspace="archive")
 
 
+@query("j7_nearest_of_corpus", "select query_id, id, score from scored qualify row_number() over (partition by query_id order by score desc, id) = 1", NEED, V)
+def nearest_of_corpus(t: Tables) -> DataFrame:
+    return R.vector_topk(t.vector_queries, t.doc_chunks, 1).drop("pos")
+
+
 @query("r2_hybrid_search", "select * from vec", NEED, V)
 def hybrid_search(t: Tables) -> DataFrame:
     return R.hybrid_search(t.vector_queries, t.doc_chunks)
@@ -179,12 +184,12 @@ def assemble_context(t: Tables) -> DataFrame:
 @query(
     "r10_format_context",
     r"""select q.query_id, coalesce(string_agg(concat('Source ', pos + 1, ': ', content, case when file_path like 'http%' then concat(E'\nURL: ', file_path) else '' end), E'\n---\n' order by pos) filter (pos is not null), 'Nothing was found.') as context
-    from vector_queries q left join (select * from got where query_id % 100 = 0) g using (query_id) group by 1""",
+    from vector_queries q left join got g using (query_id) group by 1""",
     NEED,
     V,
 )
 def format_context(t: Tables) -> DataFrame:
-    return R.format_context(got(t).where("query_id % 100 = 0"), t.vector_queries)
+    return R.format_context(got(t), t.vector_queries)
 
 
 @query(
@@ -279,7 +284,7 @@ def mean_metrics(t: Tables) -> DataFrame:
 
 @query("g12_bootstrap")
 def bootstrap(t: Tables) -> DataFrame:
-    return E.bootstrap_ci(written(per_query(t), "per-query"), n_boot=200)
+    return E.bootstrap_ci(written(per_query(t), "per-query"))
 
 
 #: The published numbers of the older system, by metric.
@@ -299,6 +304,16 @@ def comparison(t: Tables) -> DataFrame:
     return E.comparison(E.mean_metrics(per_query(t)), t.spark.createDataFrame(list(PUBLISHED.items()), "metric string, value double"))
 
 
+@query(
+    "j15_known_baselines",
+    f"select metric, round(value, 4) as value, round(coalesce(b, 0), 4) as baseline, round(value - coalesce(b, 0), 4) as delta from ({_MEANS}) left join (values ('mrr', {PUBLISHED['mrr']}::double), ('other', 0.5::double)) p(metric, b) using (metric)",
+    NEED,
+    {**V, **METRICS},
+)
+def known_baselines(t: Tables) -> DataFrame:
+    return E.comparison(E.mean_metrics(per_query(t)), t.spark.createDataFrame([("mrr", PUBLISHED["mrr"]), ("other", 0.5)], "metric string, value double"))
+
+
 @query("j13_retrieved_truth", "select f.query_id, f.id, t.key is not null as is_rel from fused f left join truth t on t.query_id = f.query_id and t.key = f.id", NEED, V)
 def retrieved_truth(t: Tables) -> DataFrame:
     marked = truth(t).select("query_id", F.col("key").alias("id"), F.lit(True).alias("r"))

@@ -31,16 +31,26 @@ def replayed_at_once(rows: DataFrame, name: str, order: str) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).parquet(replay_files(rows, name, order))
 
 
-@query("x1_questions_per_day", "select bucket, questions from (select date_trunc('day', ts)::timestamp as bucket, count(*) as questions from events group by 1) where bucket + interval 32 days < (select max(ts) from events)", ("events",))
+@query("x1_questions_per_day", "select bucket, questions from (select date_trunc('day', ts)::timestamp as bucket, count(*) as questions from events group by 1)", ("events",))
 def questions_per_day(t: Tables) -> DataFrame:
-    # Files come in any order, so the watermark waits for as long as the table lasts.
-    stream = replayed(t.events, "events")
-    return S.drain(S.questions_per_window(stream, late="31 days"), "append", "x1").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "questions")
-
-
-@query("x2_user_sessions")
+    # Files come in any order, so the watermark waits for as long as the table lasts; the counts of a day are updated
+    # with each file, and the last ones are taken.
+    days = t.events.agg(F.date_diff(F.max("ts"), F.min("ts")).alias("d")).first()["d"] or 0
+    found = S.drain(S.questions_per_window(replayed(t.events, "events"), late=f"{days + 1} days"), "update", "x1")
+    return S.latest_updates(found, "bucket").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "questions")
+
+
+@query(
+    "x2_user_sessions",
+    """select * from (select user_id, min(ts)::timestamp as started_at, max(ts)::timestamp + interval 6 hours as ended_at, count(*) as events from
+    (select user_id, ts, sum(begins) over (partition by user_id order by ts, event_id rows unbounded preceding) as number from
+    (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 6 hours then 0 else 1 end as begins from events)) group by user_id, number)
+    where ended_at <= (select max(ts) from events) - interval 1 day""",
+    ("events",),
+)
 def user_sessions(t: Tables) -> DataFrame:
-    return S.drain(S.user_sessions(replayed_at_once(t.events, "events", "ts"), gap="6 hours"), "append", "x2")
+    found = S.drain(S.user_sessions(replayed_at_once(t.events, "events", "ts"), gap="6 hours"), "append", "x2")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
 
 
 @query("x3_rolling_contexts", r"select session_id, right(string_agg(concat(role, ': ', content), E'\n' order by id), 500) as context from messages group by 1", ("messages",))

@@ -14,11 +14,22 @@ MARKED = "select doc_id, concat('## Title', chr(10), '* **', source, '** and `',
 LIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#{1,6}\s+', '', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '(?m)^\s*\d+\.\s+', '', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t')"
 
 
+#: The rewrites of markdown for DuckDB. Its expressions have no look-around, so single asterisks are matched with the
+#: characters around them, which is the same where two such spans don't touch.
+CLEAN = "{}"
+for _pattern, _by in (
+    (r"```[\s\S]*?```", ""), (r"`([^`]+)`", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"(^|[^*])\*([^*\n]+?)\*([^*]|$)", r"\1\2\3"), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
+    (r"\[([^\]]+)\]\(([^)]+)\)", r"\1 (\2)"), (r"<(\s*https?://[^>]+)\s*>", r"\1"), (r"<entity:[^>]*>", ""), (r"【\d+†[^】]*】", ""), (r"\n{3,}", "\n\n"),
+):
+    CLEAN = f"regexp_replace({CLEAN}, '{_pattern.replace('{', '{{').replace('}', '}}')}', '{_by}', 'g')"
+CLEAN = f"trim({CLEAN}, E' \\n\\t\\r')"
+
+
 def marked(t: Tables) -> DataFrame:
     return t.spark.sql(MARKED.replace("from documents", "from {documents}"), documents=t.documents)
 
 
-@query("f1_clean_markdown")
+@query("f1_clean_markdown", f"select doc_id, {CLEAN.format('t')} as text from marked", ("documents",), {"marked": MARKED})
 def clean_markdown(t: Tables) -> DataFrame:
     return marked(t).select("doc_id", X.clean_markdown("t").alias("text"))
 
@@ -78,7 +89,16 @@ def _raw():
     return text.when(kind == 2, "no object").when(kind == 3, '{"type": 3}').otherwise("{broken")
 
 
-@query("f7_parse_llm_json")
+ANSWERS = """select conv_id * 100 + turn as id, turn % 4 as kind, conv_id, case turn % 4 when 0 then concat('**a** ', conv_id) when 1 then concat('cut ', conv_id) when 2 then 'plain' else text end as said from conversations"""
+
+
+@query(
+    "f7_parse_llm_json",
+    f"""select id, case kind when 0 then [1, 3] when 1 then [2, 5] when 2 then [4] else [] end::int[] as relevant_sources, {CLEAN.format("said")} as answer,
+    case kind when 0 then 'json' when 1 then 'repaired' when 2 then 'lines' else 'text' end as stage from answers""",
+    ("conversations",),
+    {"answers": ANSWERS},
+)
 def parse_llm_json(t: Tables) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     raw = F.when(turn % 4 == 0, F.concat(F.lit('{"relevant_sources": [1, 3], "answer": "**a** '), conv.cast("string"), F.lit('"}')))
@@ -195,6 +215,11 @@ def route_url(t: Tables) -> DataFrame:
     return t.pages.select("page_id", U.route_url("url", ROUTES).alias("r")).select("page_id", "r.source_type", "r.doc_type")
 
 
+@query("i15_route_errors", "select page_id, concat('no rule for ', url) as reason from pages where not url like '%pageId=%' and not url like '%example.com/%' and not regexp_matches(url, 'example\\.org/.*\\.html') and not regexp_matches(url, '\\.pdf([?#]|$)')", ("pages",))
+def route_errors(t: Tables) -> DataFrame:
+    return U.route_errors(t.pages, ROUTES).select("page_id", "reason")
+
+
 @query("p5_path_patterns", "select page_id from pages where regexp_matches(url, '/(en|fr)/') and not regexp_matches(url, '[?&]page=')", ("pages",))
 def path_patterns(t: Tables) -> DataFrame:
     return t.pages.where(F.col("url").rlike("/(en|fr)/") & ~F.col("url").rlike("[?&]page=")).select("page_id")

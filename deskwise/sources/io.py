@@ -13,6 +13,17 @@ relevant_chunk_ids array<string>, relevant_urls array<string>, confluence_url st
 TRACE_SCHEMA = "request_id string, timestamp timestamp, step int, phase string, thought string, action string, action_input string, observation string"
 
 
+def read_tables(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The Parquet tables of a folder by name, with the columns and types that are declared; no file is read for them."""
+    return {name: spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}.parquet") for name, schema in schemas.items()}
+
+
+def read_database(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, parts: int = 64, **options: str) -> DataFrame:
+    """A table of a database over JDBC, in ranges of a numeric column, each read by a task of its own."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts))
+    return reader.options(**options).load()
+
+
 def read_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Benchmark items from a JSON array, or from JSON lines, which Spark splits."""
     return spark.read.schema(ITEM_SCHEMA).option("multiLine", not lines).json(path)

@@ -78,7 +78,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """select report_id as id, max(archived_at) as created_at, count(*) as tasks_count from admin_tasks where report_id is not null group by report_id
         union all select 1000, {T0}, 0""",
     ),
-    "vector_queries": (("embeddings",), "select vec_id as query_id, embedding, label from embeddings where vec_id % 50 = 0"),
+    "vector_queries": (("embeddings",), "select vec_id as query_id, embedding, label from embeddings where vec_id % 20 = 0"),
     "entity_chunks": (
         ("embeddings",),
         """select concat('label-', cast(label as string)) as entity, concat('chunk-', cast(vec_id as string)) as chunk_id from embeddings

@@ -19,7 +19,8 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote.
 
     Output that is only added goes to Parquet files; updates are kept with their batch number, and the caller picks the
-    last ones. Checkpoint and output are in the shared folder.
+    last ones. A batch that runs again after a failure replaces what it wrote. Checkpoint and output are in the shared
+    folder.
     """
     spark = stream.sparkSession
     path = fresh_path(spark, f"stream-{name}")
@@ -27,9 +28,10 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", f"{path}/out").start()
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda rows, number: rows.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")).start()
+        query = writer.outputMode(mode).foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")).start()
     query.awaitTermination()
     schema = stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    # Folders that begin with an underscore are hidden unless they name a partition, as these do.
     return spark.read.schema(schema).parquet(f"{path}/out")
 
 
@@ -97,18 +99,22 @@ def mailing_stream(recipients: DataFrame, ts: str = "ts", within: str = "2 days"
 
 
 def ingest_stream(documents: DataFrame, store: str, prepare: Callable[[DataFrame], DataFrame] = ingest.sentence_chunks) -> DataFrame:
-    """Documents (doc_id, text, ...) of a stream that the store hasn't are chunked, embedded and appended to it."""
+    """Documents (doc_id, text, ...) of a stream that the store hasn't are chunked, embedded and added to it.
+
+    Each batch writes a folder of its own, so one that runs again after a failure replaces what it wrote.
+    """
     spark = documents.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates(["doc_id"])
         if io.corpus_stats(spark, {"store": store}).first()["rows"]:
-            fresh = fresh.join(spark.read.parquet(store).select("doc_id").distinct(), "doc_id", "left_anti")
-        ingest.embed(prepare(fresh)).write.mode("append").parquet(store)
+            known = spark.read.parquet(store).where(F.col("batch") != number).select("doc_id").distinct()
+            fresh = fresh.join(known, "doc_id", "left_anti")
+        ingest.embed(prepare(fresh)).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
 
     query = documents.writeStream.foreachBatch(add).option("checkpointLocation", fresh_path(spark, "ingest-checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(store)
+    return spark.read.parquet(store).drop("batch")
 
 
 def trace_states(traces: DataFrame) -> DataFrame:

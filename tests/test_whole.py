@@ -3,6 +3,13 @@
 import datetime as dt
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+from deskwise.operators import evaluate, html, ingest, retrieve, state
+from deskwise.sources import io
+from deskwise.sources.shared import fresh_path
+from deskwise.streaming import streams as S
 from deskwise.plans import streams
 from deskwise.plans.queries import QUERIES
 
@@ -30,3 +37,82 @@ def test_sessions_of_all_users(spark, small):
 def test_replay_is_written_by_many_tasks(spark):
     path = streams.replay_files(spark.range(1000).coalesce(1), "replay", "id")
     assert len(spark.read.parquet(path).inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_empty_context(spark):
+    got = spark.createDataFrame([(1, 0, "text", "https://a")], "query_id long, pos long, content string, file_path string")
+    told = retrieve.format_context(got, spark.range(1, 3).withColumnRenamed("id", "query_id"))
+    assert {r["query_id"]: r["context"] for r in told.collect()} == {1: "Source 1: text\nURL: https://a", 2: "Nothing was found."}
+
+
+def test_blocks_of_search_agree(spark, small, monkeypatch):
+    """Several blocks of queries and of the corpus give what one of each does; rows without length and nulls match nothing."""
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    rows = rows.unionByName(spark.createDataFrame([(10**6, [0.0] * 64), (10**6 + 1, None)], rows.schema))
+    queries = rows.where("id < 40").withColumnRenamed("id", "query_id")
+    one = sorted(map(tuple, retrieve.vector_topk(queries, rows, 5).collect()))
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    monkeypatch.setattr(retrieve, "PIECE", 30)
+    assert sorted(map(tuple, retrieve.vector_topk(queries, rows, 5).collect())) == one
+    assert retrieve.vector_topk(queries.limit(0), rows).count() == retrieve.vector_topk(queries, rows.limit(0)).count() == 0
+
+
+def test_numbers_of_ranges(spark):
+    rows = evaluate._numbered(spark.range(1000, 0, -3).repartition(5), "id").collect()
+    assert sorted((r["id"], r["i"]) for r in rows) == [(x, i) for i, x in enumerate(sorted(r["id"] for r in rows))]
+
+
+def test_rolling_context_of_many_messages(spark):
+    lines = [(i // 200, i, "user", "abc"[: i % 4] * (1 + i % 7) if i % 50 else "z" * 3000) for i in range(1000)]
+    found = state.rolling_context(spark.createDataFrame(lines, "session_id long, id long, role string, content string"), 100)
+    so_far = {}
+    for r in sorted(found.collect()):
+        session, _, role, content = lines[r["id"]]
+        so_far[session] = (f"{so_far[session]}\n" if session in so_far else "") + f"{role}: {content}"
+        assert r["context"] == so_far[session][-100:]
+
+
+def test_last_row_of_a_document(spark):
+    docs = spark.createDataFrame([(1, "a", "old", 1), (1, "a", "new", 2), (2, "b", "x", 1), (3, "c", "stored", 1)], "doc_id long, source_type string, text string, v int")
+    store, _ = ingest.incremental(docs, docs.where("doc_id = 3"), order="v")
+    assert sorted((r["doc_id"], r["text"]) for r in store.collect()) == [(1, "new"), (2, "x"), (3, "stored")]
+
+
+def test_batches_that_run_again(spark):
+    """A batch whose folder is there already is replaced, not added."""
+    docs = spark.createDataFrame([(1, "One sentence. Another one."), (2, "Text.")], "doc_id long, text string")
+    path, store = fresh_path(spark, "docs"), fresh_path(spark, "store")
+    docs.write.parquet(path)
+    ingest.embed(ingest.sentence_chunks(docs.where("doc_id = 1"))).write.parquet(f"{store}/batch=0")
+    out = S.ingest_stream(spark.readStream.schema(docs.schema).parquet(path), store)
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
+def test_stored_documents(spark):
+    docs = spark.createDataFrame([(1, "u", "t", "page", "A sentence. B."), (2, "u", "t", "page", " "), (3, "u", "t", "faq", None)], "doc_id long, url string, title string, source_type string, text_content string")
+    path = fresh_path(spark, "store")
+    found = {r["doc_id"]: (r["status"], r["reason"], r["chunks"]) for r in ingest.store_documents(docs, path).collect()}
+    assert found == {1: ("ok", None, 1), 2: ("skipped", "empty text", 0), 3: ("skipped", "empty text", 0)}
+    assert spark.read.parquet(path).count() == 1
+    assert set(io.read_tables(spark, "/none", {})) == set()
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<div role=main><p>Inside it</p></div><p>outside</p>", "Inside it"),
+        ("<main><div class=related-links>gone</div><label>gone</label><p>Kept line</p><p>ab</p><p>О нас</p></main>", "Kept line"),
+        ("<p>" + "long " * 200 + "</p>", ("long " * 200).strip()[:500] + "\n\n... (truncated)"),
+    ],
+)
+def test_readable(body, text):
+    page = html.parse(f"<html><head><title>T</title></head><body>{body}</body></html>")
+    assert html.readable("https://u", page, 10)["text"] == f"# T\n\n*Source:* [https://u](https://u)\n\n{text}"
+
+
+def test_errors_of_routes(spark):
+    from deskwise.functions import urls
+
+    pages = spark.createDataFrame([("https://a/x.pdf",), ("https://a/y",), (None,)], "url string")
+    found = urls.route_errors(pages, [(r"\.pdf$", "file", "pdf")]).collect()
+    assert {r["url"]: r["reason"] for r in found} == {"https://a/y": "no rule for https://a/y", None: "no address"}

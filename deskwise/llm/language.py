@@ -22,9 +22,9 @@ ORDER = 4
 #: Bits of a symbol's number in an n-gram's 64.
 BITS = 16
 #: Characters scored at once in a task.
-LOT = 200_000
+LOT = 100_000
 #: Documents whose texts a task holds as strings at once.
-ROWS = 512
+ROWS = 128
 _letters: list[np.ndarray] = []
 
 
@@ -114,10 +114,10 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol (language x text) and the number of letters of each text."""
         points, doc, told = _symbols(texts)
-        table = np.full(0x110000, self.other, np.uint32)
-        table[0] = 0
-        table[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
-        symbols = table[points]
+        letters = np.array(sorted(map(ord, self.alphabet)) or [0], np.uint32)
+        numbers = np.array([n for _, n in sorted((ord(c), n) for n, c in enumerate(self.alphabet, 1))] or [0], np.uint32)
+        at = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
+        symbols = np.where(points == 0, 0, np.where(letters[at] == points, numbers[at], self.other))
         codes, doc = _codes(symbols)[told], doc[told]
         letters = np.bincount(doc, points[told] > 0, len(texts))
         n = np.maximum(1, np.bincount(doc, minlength=len(texts)))

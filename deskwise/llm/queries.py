@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deskwise.llm import decontaminate, groups, hosts, language, licenses, lines, packing, personal, spots, token_codes
+from deskwise.llm import decontaminate, groups, hosts, language, licenses, lines, packing, personal, quality, spelling, spots, token_codes
 from deskwise.llm.common import fresh_path, table
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -64,6 +64,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.weights(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_groups": op1_jaccard_groups,
     "op2_personal_data": op2_personal_data,
@@ -75,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_spot_signatures": op9_spot_signatures,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_quality_rules": op12_quality_rules,
 }
-ORACLES: dict[str, str] = {"op4_host_reputation": hosts.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_host_reputation": hosts.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_quality_rules": quality.ORACLE}

@@ -2,7 +2,7 @@
 
 Words and pairs of adjacent words are hashed to a fixed number of buckets. Two multinomials over the buckets are counted,
 one over all documents and one over the trusted ones; each is smoothed in proportion to its size, so a bucket's weight is
-``ln((t + 1) / (e + 1))`` for t occurrences in trusted documents where e were expected. A text's score is the mean weight
+``ln((t + 10) / (e + 10))`` for t occurrences in trusted documents where e were expected. A text's score is the mean weight
 of its words and pairs, so it doesn't depend on the length. Weights are whole thousandths: sums are exact in any order, and
 a document is kept or not by one comparison, with no sampling.
 """
@@ -22,8 +22,8 @@ from deskwise.llm.common import bounded
 #: Buckets of hashed words and pairs; also the most rows that come to the driver.
 BUCKETS = 65521
 PAIR = 65599
-#: Pseudo-counts of a bucket.
-PRIOR = 1
+#: Pseudo-counts of a bucket: what few occurrences say of a bucket is held back, so that a small corpus judges less, not otherwise.
+PRIOR = 10
 #: The least mean weight, in thousandths, of a text that is kept.
 LEAST = -100
 #: Different words that a task remembers between texts.

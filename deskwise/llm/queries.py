@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deskwise.llm import decontaminate, groups, hosts, language, licenses, lines, packing, personal, quality, spelling, spots, token_codes
+from deskwise.llm import conversations, decontaminate, groups, hosts, language, licenses, lines, packing, personal, quality, spelling, spots, token_codes
 from deskwise.llm.common import fresh_path, table
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -73,6 +73,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.weights(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_groups": op1_jaccard_groups,
     "op2_personal_data": op2_personal_data,
@@ -86,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_quality_rules": op12_quality_rules,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op4_host_reputation": hosts.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_quality_rules": quality.ORACLE}

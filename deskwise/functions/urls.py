@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlsplit
+from urllib.parse import unquote, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,29 +16,34 @@ def canonical_page(url: str) -> Column:
     return F.coalesce(F.concat(F.lit("page:"), F.coalesce(number(r"pageId=(\d+)"), number(r"attachments/(\d+)"))), F.trim(url))
 
 
-def _normal(url: str | None) -> str | None:
-    if url is None:
-        return None
+def _normal(url: str | None) -> str:
+    if not url:
+        return ""
     try:
         parts = urlsplit(url.strip())
-        host = parts.netloc.lower().removeprefix("www.")
-        path = unquote(parts.path).strip("/")
-        return f"https://{host}" + (f"/{path}" if path else "") + (f"?{parts.query}" if parts.query else "")
+        return urlunsplit(("https", parts.netloc.lower().removeprefix("www."), "/" + unquote(parts.path).strip("/"), parts.query, ""))
     except ValueError:
         return url.strip()
 
 
 @F.pandas_udf(StringType())
 def normalize_url(url: pd.Series) -> pd.Series:
-    """https, the host in lower case without www., the path decoded and without slashes around it, the query as it is, no
-    fragment. What can't be read stays, without blanks around it."""
+    """https, the host in lower case without www., the path decoded, with one slash before it and none after it, the query
+    as it is, no fragment. Null and empty addresses are empty; what can't be read stays, without blanks around it."""
     return url.map(_normal)
 
 
+@F.pandas_udf(StringType())
+def _decoded(part: pd.Series) -> pd.Series:
+    return part.map(lambda p: p and unquote(p))
+
+
 def title_from_url(url: str) -> Column:
-    """The last part of the path without query and .pdf, dashes and underlines as blanks; ``Untitled`` if nothing is left."""
-    last = F.element_at(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), -1)
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"(?i)\.pdf$", ""), "[-_]", " "), r"\s+", " "))
+    """What follows the last slash, but for slashes at the end, without query and .pdf, decoded, dashes and underlines as
+    blanks; ``Untitled`` if nothing is left. Only parts with a percent sign leave the JVM."""
+    last = F.element_at(F.split(F.rtrim(F.col(url), F.lit("/")), "/"), -1)
+    name = F.regexp_replace(F.regexp_replace(last, r"\?.*$", ""), r"(?i)\.pdf$", "")
+    words = F.translate(F.when(name.contains("%"), _decoded(name)).otherwise(name), "-_", "  ")
     return F.coalesce(F.nullif(words, F.lit("")), F.lit("Untitled"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +63,57 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     return means.unpivot([], list(METRICS), "metric", "value")
 
 
-def _numbered(rows: DataFrame, order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Adds ``i``, the row's number from 0 in an order. Tasks sort ranges; the counts of the ranges come together."""
-    placed = written(rows.orderBy(order).withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    placed = written(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "ordered")
     part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))
     before = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
     return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("i", F.col("_before") + at).drop("_m", "_p", "_before")
 
 
-def bootstrap_ci(per_query: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """``metric, mean, low, high``: linear percentiles of the means of ``n_boot`` samples with replacement.
+def _gathered(per_query: DataFrame, n_boot: int, seed: int, held: int) -> DataFrame | None:
+    """The means of each sample, gathered from the metrics as one matrix, if that has at most ``held`` rows."""
+    names = [f"`{m}`" for m in METRICS]
+    table = per_query.select("query_id", *names).limit(held + 1).toArrow()
+    if table.num_rows > held:
+        return None
+    table = table.sort_by("query_id")
+    matrix = np.stack([table[m].to_numpy() for m in METRICS], axis=1)
+    n = len(matrix)
 
-    Draw i of sample b is the row whose number is the first eight hex digits of md5(b|i|seed) modulo the rows, numbered
-    in the order of query_id. Draws meet the metrics of their row once, as one row of columns.
-    """
-    rows = _numbered(per_query, "query_id")
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for b in batch["id"].to_pylist() if n else []:
+                drawn = [int(hashlib.md5(f"{b}|{d}|{seed}".encode()).hexdigest()[:8], 16) % n for d in range(n)]
+                out.append(matrix[drawn].mean(axis=0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.stack(out, axis=1)], names=list(METRICS))
+
+    return per_query.sparkSession.range(n_boot).mapInArrow(means, ", ".join(f"{m} double" for m in names))
+
+
+def _shuffled(per_query: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """The same where there are more queries than a task should hold: draws meet the metrics of their row once."""
+    rows = numbered(per_query, "query_id")
     n = per_query.agg(F.count("*").alias("n"))
     draws = per_query.sparkSession.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).alias("d"))
     digest = F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("d").cast("string"), F.lit(str(seed)))), 1, 8)
     picks = draws.select("b", (F.conv(digest, 16, 10).cast("long") % F.col("n")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
     means = picks.join(rows, "i").groupBy("b").agg(*((F.sum(F.col(f"`{m}`") * F.col("times")) / F.sum("times")).alias(m) for m in METRICS))
-    weighted = means.unpivot(["b"], list(METRICS), "metric", "mean")
+    return means.drop("b")
+
+
+def bootstrap_ci(per_query: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed: int = 42, held: int = 100_000) -> DataFrame:
+    """``metric, mean, low, high``: linear percentiles of the means of ``n_boot`` samples with replacement.
+
+    Draw i of sample b is the row whose number is the first eight hex digits of md5(b|i|seed) modulo the rows, numbered
+    in the order of query_id. Up to ``held`` rows of metrics go to each task, which draws its samples from them; nothing of
+    the size of all draws is shuffled. Of more rows, draws are joined with them.
+    """
+    means = _gathered(per_query, n_boot, seed, held)
+    weighted = (_shuffled(per_query, n_boot, seed) if means is None else means).unpivot([], list(METRICS), "metric", "mean")
     tail = (1 - ci) / 2
     ends = weighted.groupBy("metric").agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
     return mean_metrics(per_query).withColumnRenamed("value", "mean").join(ends, "metric", "left")
@@ -133,49 +167,3 @@ def mine_items(candidates: DataFrame, target: int, per_chunk: int = 3, seed: int
 
 def item_id(prefix: str | Column, key: Column) -> Column:
     return F.concat(prefix, F.lit("-"), F.left(F.md5(key), F.lit(12)))
-
-
-def match_texts(items: DataFrame, documents: DataFrame, least: int = 40) -> DataFrame:
-    """``item, document, rank``: for each item (item, url, text) in order the best free document of the same url.
-
-    Equal texts rank 3, a prefix 2, containment 1, else the length of the common prefix decides, which must be
-    ``least``. Each document is given once. The state never leaves a url, whose rows are one group. Of documents that
-    fit as well the one of the least id is taken. Rows with a null url or text match nothing.
-    """
-    from collections import defaultdict, deque
-
-    import pandas as pd
-
-    def matched(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import os
-
-        taken: set = set()
-        out = []
-        texts = list(right.sort_values("document")[["document", "text"]].itertuples(index=False))
-        same: dict[str, deque] = defaultdict(deque)  # no rank is above that of an equal text, so no other is looked at
-        for document, text in texts:
-            same[text].append(document)
-        for item, text in left.sort_values("item")[["item", "text"]].itertuples(index=False):
-            equal = same[text] if text in same else ()
-            while equal and equal[0] in taken:
-                equal.popleft()
-            if equal:
-                taken.add(equal[0])
-                out.append((item, equal.popleft(), 3))
-                continue
-            best = None
-            for document, other in texts:
-                if document in taken:
-                    continue
-                rank = 2 if text.startswith(other) or other.startswith(text) else 1 if text in other or other in text else 0
-                common = len(os.path.commonprefix([text, other]))
-                if (rank or common >= least) and (best is None or (rank, common) > best[:2]):
-                    best = (rank, common, document)
-            if best:
-                taken.add(best[2])
-                out.append((item, best[2], best[0]))
-        return pd.DataFrame(out, columns=["item", "document", "rank"])
-
-    told = "url is not null and text is not null"
-    pairs = items.where(told).select("item", "url", "text").groupBy("url").cogroup(documents.where(told).select("document", "url", "text").groupBy("url"))
-    return pairs.applyInPandas(matched, "item long, document long, rank int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskwise.operators.search import containing
+
 
 def latest(commands: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """The last command of each key; of equal times the one with the greatest row."""
@@ -131,8 +133,9 @@ def last_answer(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def dialog_context(messages: DataFrame, n_pairs: int = 3, chars: int = 300, names: tuple[str, str] = ("User", "Assistant")) -> DataFrame:
-    """``id, context`` of every message: the 2 n_pairs messages before it, oldest first, the last ``chars`` characters."""
-    line = F.concat(F.when(F.col("role") == "user", names[0]).otherwise(names[1]), F.lit(": "), "content")
+    """``id, context`` of every message: the 2 n_pairs messages before it, oldest first, the last ``chars`` characters.
+    A message without content is its role alone."""
+    line = F.concat(F.when(F.col("role") == "user", names[0]).otherwise(names[1]), F.lit(": "), F.coalesce("content", F.lit("")))
     before = Window.partitionBy("session_id").orderBy("id").rowsBetween(-2 * n_pairs, -1)
     return messages.select("id", F.right(F.array_join(F.collect_list(line).over(before), "\n"), F.lit(chars)).alias("context"))
 
@@ -193,12 +196,15 @@ def telemetry_on(logs: DataFrame, day: str, service: str, level: str, text: str)
 
 
 def block_search(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, block_id``: blocks (block_id, title, text) that hold a query's text; all of them if none does.
+    """``query_id, block_id``: blocks (block_id, title, text) that hold a query's text, in any case and without blanks around it;
+    all of them if none does. Null and blank queries ask for all.
 
-    Queries are the small side: each block is read once and compared with every query.
+    Equal texts are sought once, by :func:`search.containing`; there may be any number of queries.
     """
-    low = F.lower("query")
-    hits = blocks.join(F.broadcast(queries), F.lower("title").contains(low) | F.lower("text").contains(low)).select("query_id", "block_id")
+    low = queries.select("query_id", F.lower(F.btrim("query", F.lit(" \t\n\r\f\v"))).alias("needle"))
+    needles = low.where("needle <> ''").select("needle").distinct().withColumn("needle_id", F.col("needle"))
+    found = containing(blocks.select("block_id", F.lower("title").alias("title"), F.lower("text").alias("text")), needles, texts=("title", "text"))
+    hits = low.join(found, F.col("needle") == F.col("needle_id")).select("query_id", "block_id")
     none = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     return hits.unionByName(none.crossJoin(blocks.select("block_id")))
 

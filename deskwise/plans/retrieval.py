@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deskwise.functions import urls
 from deskwise.operators import evaluate as E
+from deskwise.operators import matching as M
 from deskwise.operators import retrieve as R
 from deskwise.plans.registry import query
 from deskwise.sources.shared import written
@@ -74,6 +75,11 @@ def vector_topk(t: Tables) -> DataFrame:
     return vectors(t)
 
 
+@query("r1_approximate_topk")
+def approximate_topk(t: Tables) -> DataFrame:
+    return R.approximate_topk(t.vector_queries, t.doc_chunks)
+
+
 @query("r1_workspace_topk", "select query_id, id, score, row_number() over (partition by query_id order by score desc, id) - 1 as pos from scored where workspace = 'archive' qualify pos < 10", NEED, V)
 def workspace_topk(t: Tables) -> DataFrame:
     return vectors(t, workspace="archive")
@@ -171,9 +177,9 @@ def http_sources(t: Tables) -> DataFrame:
     "r9_assemble_context",
     r"""select query_id, case when length(c) > 2500 then regexp_replace(c[:2500], '\n[^\n]*$', '') else c end as context from
     (select query_id, concat(E'Context:\n', string_agg(b, E'\n---\n' order by pos)) as c from
-    (select query_id, pos, concat(case when web is not null then concat('[Source ', dense_rank() over (partition by query_id order by first nulls last), '] ', web) else concat('Source: ', file_path) end, E'\n', trim(content)) as b from
+    (select query_id, pos, concat(trim(content, E' \t\n\r\f\v'), case when web is not null then concat(E'\n[Source ', dense_rank() over (partition by query_id order by first nulls last), ']') when file_path <> '' then concat(E'\nSource: ', file_path) else '' end) as b from
     (select *, case when web is not null then min(pos) over (partition by query_id, web) end as first from
-    (select *, case when file_path like 'http%' then file_path end as web from got where pos < 6 and trim(content) <> ''))) group by 1)""",
+    (select *, case when file_path like 'http%' then file_path end as web from got where pos < 6 and content <> ''))) group by 1)""",
     NEED,
     V,
 )
@@ -183,7 +189,7 @@ def assemble_context(t: Tables) -> DataFrame:
 
 @query(
     "r10_format_context",
-    r"""select q.query_id, coalesce(string_agg(concat('Source ', pos + 1, ': ', content, case when file_path like 'http%' then concat(E'\nURL: ', file_path) else '' end), E'\n---\n' order by pos) filter (pos is not null), 'Nothing was found.') as context
+    r"""select q.query_id, coalesce(string_agg(concat('Source ', pos + 1, ': ', content, case when file_path <> '' then concat(E'\nURL: ', file_path) else '' end), E'\n\n---\n\n' order by pos) filter (pos is not null), 'Nothing was found.') as context
     from vector_queries q left join got g using (query_id) group by 1""",
     NEED,
     V,
@@ -282,9 +288,22 @@ def mean_metrics(t: Tables) -> DataFrame:
     return E.mean_metrics(per_query(t)).withColumn("value", F.round("value", 9))
 
 
-@query("g12_bootstrap")
+_BOOT = (
+    "select " + ", ".join(f'avg("{m}") as "{m}"' for m in E.METRICS) + """ from
+    (select b, ('0x' || substr(md5(concat_ws('|', b, d, '42')), 1, 8))::bigint % n as i from (select count(*) as n, unnest(range(1000)) as b from metrics), (select unnest(range(count(*))) as d from metrics))
+    join (select *, row_number() over (order by query_id) - 1 as i from metrics) using (i) group by b"""
+)
+
+
+@query(
+    "g12_bootstrap",
+    " union all ".join(f"select '{m}' as metric, round((select avg(\"{m}\") from metrics), 9) as mean, round(quantile_cont(\"{m}\", 0.025), 9) as low, round(quantile_cont(\"{m}\", 0.975), 9) as high from boot" for m in E.METRICS),
+    NEED,
+    {**V, **METRICS, "boot": _BOOT},
+)
 def bootstrap(t: Tables) -> DataFrame:
-    return E.bootstrap_ci(written(per_query(t), "per-query"))
+    found = E.bootstrap_ci(written(per_query(t), "per-query"))
+    return found.select("metric", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 #: The published numbers of the older system, by metric.
@@ -407,12 +426,35 @@ def item_ids(t: Tables) -> DataFrame:
     return t.documents.select(E.item_id(F.lit("item"), F.col("text")).alias("id"), F.left("text", F.lit(500)).alias("chunk_text"))
 
 
-# Every item has a document of its own text, which no other item needs, so the greedy choice is its own one.
-@query("j12_match_texts", "select doc_id as item, doc_id as document, cast(3 as int) as rank from documents where source is not null and text is not null", ("documents",))
+_CHANGED = """select doc_id as item, source as url, case doc_id % 6 when 0 then text when 1 then substr(text, 1, length(text) // 2) when 2 then concat(text, ' and more')
+    when 3 then substr(text, 6, 200) when 4 then concat(substr(text, 1, 60), '?', substr(text, 61)) else substr(text, 1, 8) end as text from documents"""
+
+
+# Items are copies, halves, longer, inner and edited pieces of documents. The SQL lets them choose one after the other.
+@query(
+    "j12_match_texts",
+    """select unnest(found).item as item, unnest(found).document as document, unnest(found).rank as rank from (select url, arg_max(found, n) as found from chosen group by url)""",
+    ("documents",),
+    {
+        "items": _CHANGED,
+        "pairs": """select i.item, i.url, d.doc_id as document, i.text as a, d.text as b, case when d.text = i.text then 3 when starts_with(d.text, i.text) then 2 when contains(d.text, i.text) then 1 else 0 end::int as rank
+            from items i join documents d on d.source = i.url where contains(d.text, i.text) or length(d.text) >= 40 and substr(d.text, 1, 40) = substr(i.text, 1, 40)""",
+        "measured": """select *, case when rank > 0 then length(a) else least(length(a), length(b), coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] is distinct from z[2]), true) - 1, 1000000000)) end as same from pairs""",
+        "prefs": "select item, document, rank, row_number() over (partition by item order by rank desc, same desc, document) as k from measured where rank > 0 or same >= 40",
+        "numbers": "select item, url, row_number() over (partition by url order by item) as n from items where text is not null and url is not null",
+        "recursive chosen": """select distinct url, 0::bigint as n, []::struct(item bigint, document bigint, rank int)[] as found from items where url is not null
+            union all select c.url, any_value(m.n), case when arg_min(p.document, p.k) is null then any_value(c.found) else list_append(any_value(c.found), {'item': any_value(m.item), 'document': arg_min(p.document, p.k), 'rank': arg_min(p.rank, p.k)}) end
+            from chosen c join numbers m on m.url = c.url and m.n = c.n + 1 left join prefs p on p.item = m.item and not list_contains(list_transform(c.found, lambda f: f.document), p.document) group by c.url""",
+    },
+)
 def match_texts(t: Tables) -> DataFrame:
-    items = t.documents.select(F.col("doc_id").alias("item"), F.concat(F.lit("https://h/"), F.col("source")).alias("url"), "text")
-    docs = t.documents.select(F.col("doc_id").alias("document"), F.concat(F.lit("https://h/"), F.col("source")).alias("url"), "text")
-    return E.match_texts(items, docs)
+    items = t.documents.selectExpr(
+        "doc_id as item",
+        "source as url",
+        """case doc_id % 6 when 0 then text when 1 then substr(text, 1, int(length(text) / 2)) when 2 then concat(text, ' and more')
+        when 3 then substr(text, 6, 200) when 4 then concat(substr(text, 1, 60), '?', substr(text, 61)) else substr(text, 1, 8) end as text""",
+    )
+    return M.match_texts(items, t.documents.select(F.col("doc_id").alias("document"), F.col("source").alias("url"), "text"))
 
 
 @query("g13_search_timing", "select event_type, avg(value) as mean, round(sum(value), 6) as total from events group by 1", ("events",))

@@ -190,12 +190,12 @@ def key_prefix(t: Tables) -> DataFrame:
     "select query_id, block_id from hits union all select q.query_id, d.doc_id from q, documents d where q.query_id not in (select query_id from hits)",
     ("documents",),
     {
-        "q": "select * from (values (1::bigint, 'Licensed under'), (2, 'src7'), (3, 'nowhere to be found')) v(query_id, query)",
-        "hits": "select q.query_id, b.doc_id as block_id from q join documents b on contains(lower(b.text), lower(q.query)) or contains(lower(b.source), lower(q.query))",
+        "q": "select query_id, trim(query) as query from (values (1::bigint, 'Licensed under'), (2, ' SRC7 '), (3, 'nowhere to be found'), (4, 'q'), (5, '7'), (6, 'xz'), (7, ' '), (8, 'licensed under')) v(query_id, query)",
+        "hits": "select q.query_id, b.doc_id as block_id from q join documents b on query <> '' and (contains(lower(b.text), lower(q.query)) or contains(lower(b.source), lower(q.query)))",
     },
 )
 def block_search(t: Tables) -> DataFrame:
-    queries = t.spark.createDataFrame([(1, "Licensed under"), (2, "src7"), (3, "nowhere to be found")], "query_id long, query string")
+    queries = t.spark.createDataFrame([(1, "Licensed under"), (2, " SRC7 "), (3, "nowhere to be found"), (4, "q"), (5, "7"), (6, "xz"), (7, " "), (8, "licensed under")], "query_id long, query string")
     return S.block_search(t.documents.select(F.col("doc_id").alias("block_id"), F.col("source").alias("title"), "text"), queries)
 
 

@@ -177,14 +177,14 @@ def clean_ocr_text(t: Tables) -> DataFrame:
     return t.documents.withColumn("t", dirty).select("doc_id", X.clean_ocr_text("t").alias("text"))
 
 
-@query("i11_title_from_url", r"select page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '(?i)\.pdf$', ''), '[-_]', ' ', 'g'), '\s+', ' ', 'g')), ''), 'Untitled') as title from pages", ("pages",))
+@query("i11_title_from_url", r"select page_id, coalesce(nullif(translate(url_decode(regexp_replace(regexp_replace(string_split(rtrim(url, '/'), '/')[-1], '\?.*$', ''), '(?i)\.pdf$', '')), '-_', '  '), ''), 'Untitled') as title from pages", ("pages",))
 def title_from_url(t: Tables) -> DataFrame:
     return t.pages.select("page_id", U.title_from_url("url").alias("title"))
 
 
 @query(
     "i16_normalize_url",
-    r"""select page_id, concat('https://', regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', ''), case when p <> '' then concat('/', p) else '' end, case when q <> '' then concat('?', q) else '' end) as url
+    r"""select page_id, case when coalesce(url, '') = '' then '' else concat('https://', regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', ''), '/', p, case when q <> '' then concat('?', q) else '' end) end as url
     from (select *, trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') as p, regexp_extract(url, '\?([^#]*)', 1) as q from pages)""",
     ("pages",),
 )

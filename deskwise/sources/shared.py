@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,8 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The table, to be broadcast if it has at most ``most`` rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

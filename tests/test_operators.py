@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from deskwise.functions import text as X
 from deskwise.functions import urls as U
-from deskwise.operators import analytics, evaluate, html, ingest, retrieve, state
+from deskwise.operators import analytics, evaluate, html, ingest, matching, retrieve, search, state
 from deskwise.sources import io
 from deskwise.sources.shared import fresh_path, written
 
@@ -69,8 +69,68 @@ def test_topk_edges(spark):
 def test_addresses(spark):
     assert one(spark, U.canonical_page("u"), u="https://h/p?pageId=12&x=1") == "page:12"
     assert one(spark, U.canonical_page("u"), u="https://h/download/attachments/12/a.pdf") == "page:12"
-    assert one(spark, U.normalize_url("u"), u="HTTP://www.Ex.org/a%20b/?q=1#f") == "https://ex.org/a b?q=1"
-    assert one(spark, U.title_from_url("u"), u="https://h/a/My_long-file.PDF?x=1") == "My long file"
+    normal = {"HTTP://www.Ex.org/a%20b/?q=1#f": "https://ex.org/a b?q=1", "": "", None: "", "http://a.org": "https://a.org/", "http://a.org/": "https://a.org/", "http://a.org//x//": "https://a.org/x", "http://[a": "http://[a"}
+    for url, told in normal.items():
+        assert one(spark, U.normalize_url("u"), u=url) == told
+    titles = {"https://h/a/My_long-file.PDF?x=1": "My long file", "https://h/a/%D0%9F%D1%80-1.pdf": "Пр 1", "https://h/a/b//": "b", "https://h/50%": "50%", "": "Untitled", None: "Untitled", "https://h/a+b": "a+b"}
+    for url, told in titles.items():
+        assert one(spark, U.title_from_url("u"), u=url) == told
+
+
+def test_sentences_and_items_of_lists():
+    """Where sentences end, and items of a list, whatever white space stands around the line end."""
+    parts = lambda text: [c for c, _, _ in ingest.fold(text, 1, 0)]
+    assert parts("Нужно: \n — один;\n — два") == ["Нужно:", "Нужно: — один;", "— один; — два"]
+    assert ingest.fold("Нужно: \n — один;\n — два", 500) == [("Нужно: — один; — два", 0, 18)]
+    assert ingest.fold("One. Two? three! Four", 500) == [("One. Two? three! Four", 0, 19)]
+
+
+def test_contexts(spark):
+    rows = [(1, 0, " a ", "https://x"), (1, 1, "", "https://y"), (1, 2, "b", "https://z"), (1, 3, "c", "note"), (1, 4, "d", ""), (1, 5, "e", None), (1, 6, "f", "https://x"), (2, 0, None, "https://x")]
+    got = spark.createDataFrame(rows, "query_id long, pos long, content string, file_path string")
+    told = retrieve.assemble_context(got, 9).collect()
+    assert [r["context"] for r in told] == ["Context:\na\n[Source 1]\n---\nb\n[Source 2]\n---\nc\nSource: note\n---\nd\n---\ne\n---\nf\n[Source 1]"]
+    assert retrieve.assemble_context(got, 9, 27).first()["context"] == "Context:\na\n[Source 1]"
+    formatted = {r["query_id"]: r["context"] for r in retrieve.format_context(got.where("pos > 1"), got.select("query_id").distinct()).collect()}
+    assert formatted == {1: "Source 3: b\nURL: https://z\n\n---\n\nSource 4: c\nURL: note\n\n---\n\nSource 5: d\n\n---\n\nSource 6: e\n\n---\n\nSource 7: f\nURL: https://x", 2: "Nothing was found."}
+
+
+def test_messages_without_content(spark):
+    rows = spark.createDataFrame([(1, 1, "user", None), (1, 2, "assistant", "x"), (1, 3, "user", "y")], "session_id long, id long, role string, content string")
+    assert {r["id"]: r["context"] for r in state.dialog_context(rows).collect()} == {1: "", 2: "User: ", 3: "User: \nAssistant: x"}
+
+
+def test_search_of_strings(spark):
+    """Against loops: strings of one and two characters, of characters beyond the basic plane, absent ones, nulls and blanks."""
+    blocks = [(1, "Contacts", "Ünï 😀😁 office"), (2, None, "OFFICE hours"), (3, "hours", None), (4, "", ""), (5, "aaaa", "a" * 50_000)]
+    asked = ["office", " ÜNÏ ", "😀", "😀😁", "h", "aa", "aaaaaaa", "absent", "", "  ", None, "hours", "offices"]
+    frame = spark.createDataFrame(blocks, "block_id long, title string, text string")
+    found = state.block_search(frame, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
+    expected = []
+    for i, query in enumerate(asked):
+        low = (query or "").strip().lower()
+        some = [b for b, title, text in blocks if low and (low in (title or "").lower() or low in (text or "").lower())]
+        expected += [(i, b) for b in some or [b[0] for b in blocks]]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert "NestedLoop" not in search.containing(frame.select("block_id", "text"), spark.createDataFrame([(1, "x")], "needle_id long, needle string"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_approximate_search(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    queries = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r["query_id"], r["id"]) for r in retrieve.vector_topk(queries, rows).collect()}
+    found = retrieve.approximate_topk(queries, rows).collect()
+    assert len(exact & {(r["query_id"], r["id"]) for r in found}) >= 0.9 * len(exact)
+    assert len(found) == len({(r["query_id"], r["id"]) for r in found})
+
+
+def test_samples_gathered_and_shuffled(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(i, *(rng.random() for _ in evaluate.METRICS)) for i in range(40)], "query_id long, " + ", ".join(f"`{m}` double" for m in evaluate.METRICS))
+    told = lambda held: sorted((r["metric"], round(r["mean"], 9), round(r["low"], 9), round(r["high"], 9)) for r in evaluate.bootstrap_ci(rows, 50, held=held).collect())
+    assert told(40) == told(39)
 
 
 def test_status_of_nothing(spark):
@@ -175,9 +235,9 @@ def test_descendants_end_in_cycles(spark):
 
 
 def test_matching_gives_each_text_once(spark):
-    items = spark.createDataFrame([(1, "u", "same text"), (2, "u", "same text"), (3, "u", "no match")], "item long, url string, text string")
-    docs = spark.createDataFrame([(10, "u", "same text and more"), (11, "u", "same text")], "document long, url string, text string")
-    assert sorted(tuple(r) for r in evaluate.match_texts(items, docs).collect()) == [(1, 11, 3), (2, 10, 2)]
+    items = spark.createDataFrame([(1, "u", "same text"), (2, "u", "same text"), (3, "u", "no match"), (4, "v", "anything"), (5, "v", "")], "item long, url string, text string")
+    docs = spark.createDataFrame([(10, "u", "same text and more"), (11, "u", "same text"), (12, "v", ""), (13, "w", "anything")], "document long, url string, text string")
+    assert sorted(tuple(r) for r in matching.match_texts(items, docs).collect()) == [(1, 11, 3), (2, 10, 2), (5, 12, 3)]
 
 
 def test_feedback_and_intervals(spark):

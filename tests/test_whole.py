@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from deskwise.operators import evaluate, html, ingest, retrieve, state
+from deskwise.operators import evaluate, matching, html, ingest, retrieve, state
 from deskwise.sources import io
 from deskwise.sources.shared import fresh_path
 from deskwise.streaming import streams as S
@@ -58,7 +58,7 @@ def test_blocks_of_search_agree(spark, small, monkeypatch):
 
 
 def test_numbers_of_ranges(spark):
-    rows = evaluate._numbered(spark.range(1000, 0, -3).repartition(5), "id").collect()
+    rows = evaluate.numbered(spark.range(1000, 0, -3).repartition(5), "id").collect()
     assert sorted((r["id"], r["i"]) for r in rows) == [(x, i) for i, x in enumerate(sorted(r["id"] for r in rows))]
 
 
@@ -121,9 +121,11 @@ def test_errors_of_routes(spark):
 def test_matches_of_whole_texts(spark, small):
     """Copies, cut, extended, inner and edited texts, against loops over all pairs of an address; nulls match nothing."""
     rows = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text").collect()]
-    rows += [(10_000, None, "no address"), (10_001, rows[0][1], None), (10_002, rows[1][1], rows[1][2])]
-    change = (lambda x: x, lambda x: x[: len(x) // 2], lambda x: x + " and more", lambda x: x[5:-5], lambda x: x[:60] + "?" + x[60:])
-    items = [(i, url, text and change[i % 5](text)) for i, url, text in rows]
+    rows = [(i, "src0" if i % 2 else url, text) for i, url, text in rows]  # half of the rows have one address
+    rows += [(10_000, None, "no address"), (10_001, rows[0][1], None), (10_002, rows[1][1], rows[1][2]), (10_003, "src0", ""), (10_004, "src0", ""), (10_005, "src1", "ab")]
+    rows += [(20_000 + i, "copies", "a text of many copies and of many words, long enough to begin as others do" + "!" * (i % 3)) for i in range(40)]
+    change = (lambda x: x, lambda x: x[: len(x) // 2], lambda x: x + " and more", lambda x: x[5:-5], lambda x: x[:60] + "?" + x[60:], lambda x: "", lambda x: x[:2])
+    items = [(i, url, None if text is None else change[i % 7](text)) for i, url, text in rows]
     expected, taken = [], set()
     for item, url, text in sorted(items, key=lambda r: r[0]):
         best = None
@@ -131,13 +133,14 @@ def test_matches_of_whole_texts(spark, small):
             if None in (url, text, other) or other_url != url or document in taken:
                 continue
             common = next((i for i, (a, b) in enumerate(zip(text, other)) if a != b), min(len(text), len(other)))
-            rank = 3 if text == other else 2 if common == min(len(text), len(other)) else 1 if text in other or other in text else 0
-            if (rank or common >= 40) and (best is None or (rank, common) > best[:2]):
-                best = (rank, common, document)
+            rank = 3 if text == other else 2 if other.startswith(text) else 1 if text in other else 0
+            length = len(text) if rank else common
+            if (rank or length >= 40) and (best is None or (rank, length) > best[:2]):
+                best = (rank, length, document)
         if best:
             taken.add(best[2])
             expected.append((item, best[2], best[0]))
     columns = "long, url string, text string"
-    found = evaluate.match_texts(spark.createDataFrame(items, f"item {columns}"), spark.createDataFrame(rows, f"document {columns}"))
+    found = matching.match_texts(spark.createDataFrame(items, f"item {columns}"), spark.createDataFrame(rows, f"document {columns}"))
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     assert {r[2] for r in expected} == {0, 1, 2, 3}

@@ -90,7 +90,7 @@ def test_contexts(spark):
     got = spark.createDataFrame(rows, "query_id long, pos long, content string, file_path string")
     told = retrieve.assemble_context(got, 9).collect()
     assert [r["context"] for r in told] == ["Context:\na\n[Source 1]\n---\nb\n[Source 2]\n---\nc\nSource: note\n---\nd\n---\ne\n---\nf\n[Source 1]"]
-    assert retrieve.assemble_context(got, 9, 27).first()["context"] == "Context:\na\n[Source 1]"
+    assert retrieve.assemble_context(got, 9, 30).first()["context"] == "Context:\na\n[Source 1]\n---\nb"
     formatted = {r["query_id"]: r["context"] for r in retrieve.format_context(got.where("pos > 1"), got.select("query_id").distinct()).collect()}
     assert formatted == {1: "Source 3: b\nURL: https://z\n\n---\n\nSource 4: c\nURL: note\n\n---\n\nSource 5: d\n\n---\n\nSource 6: e\n\n---\n\nSource 7: f\nURL: https://x", 2: "Nothing was found."}
 
@@ -119,9 +119,12 @@ def test_approximate_search(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     queries = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
     exact = {(r["query_id"], r["id"]) for r in retrieve.vector_topk(queries, rows).collect()}
-    found = retrieve.approximate_topk(queries, rows).collect()
+    found = retrieve.approximate_topk(queries, rows, tables=64).collect()  # few vectors, without neighbours
     assert len(exact & {(r["query_id"], r["id"]) for r in found}) >= 0.9 * len(exact)
     assert len(found) == len({(r["query_id"], r["id"]) for r in found})
+    near = queries.unionByName(queries.select((F.col("query_id") + 1000).alias("query_id"), F.transform("embedding", lambda x: x * 1.01).cast("array<float>").alias("embedding")))
+    best = {(r["query_id"], r["id"]) for r in retrieve.approximate_topk(near, rows, 1).collect()}
+    assert best == {(r["query_id"], str(r["query_id"] % 1000)) for r in near.collect()}
 
 
 def test_samples_gathered_and_shuffled(spark):

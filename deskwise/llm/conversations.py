@@ -241,12 +241,12 @@ def repaired(rows: DataFrame) -> DataFrame:
     first letter fits nowhere: its row is reroled or deleted, and stands in no legal pair. Other columns don't matter, and an
     empty table has no conversations.
 
-    Which rows repeat an earlier one is found by joining the first place of each role and text of a conversation, combined
-    before the shuffle; then the rows of a conversation stream in order through one task.
+    Which rows repeat an earlier one is found by joining the first place of each role and text that a conversation has twice,
+    combined before the shuffle; then the rows of a conversation stream in order through one task.
     """
     all_rows = written(damaged(rows).withColumn("said", F.sha2(F.to_json(F.struct("conv_id", "role", "text")), 256)), "damaged")
-    first = all_rows.where("not gone").groupBy("said").agg(F.min("place").alias("first"))
-    marked = salted(all_rows, first, "said", "place", how="left")
+    first = all_rows.where("not gone").groupBy("said").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    marked = salted(all_rows, first.where("n > 1").select("said", "first"), "said", "place", how="left")
     letter = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     shown = marked.select("conv_id", "turn", "role", "text", "gone", "place", (F.col("first") < F.col("place")).alias("later"), letter.alias("letter"))
     dealt = shown.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")

@@ -23,10 +23,10 @@ _LONGEST = 48
 class Encoder:
     """``ids(text)`` gives the text's ids as little-endian unsigned 32-bit integers.
 
-    One per Python worker and tokenizer file; it keeps the ids of the first ``most`` pieces.
+    One per Python worker, tokenizer file and ``most``; it keeps the ids of the first ``most`` pieces.
     """
 
-    _open: dict[str, Encoder] = {}
+    _open: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
@@ -40,10 +40,10 @@ class Encoder:
         self.quick = byte_level and not told.get("normalizer") and told["model"]["type"] == "BPE" and all("<|" in t for t in own)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def of(cls, path: str, most: int = 100_000) -> Encoder:
+        if (path, most) not in cls._open:
+            cls._open[path, most] = cls(path, most)
+        return cls._open[path, most]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -20,6 +20,8 @@ from deskwise.llm.bpe import Encoder
 from deskwise.llm.common import partitions
 
 BITS, STEP = 8, 512
+#: Pieces of text whose ids a Python worker keeps, some 60 MB.
+PIECES = 400_000
 _LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
 _DOC = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.list_(_DOC)), ("levels", pa.list_(_LEVEL))])
@@ -72,7 +74,7 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, blo
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, shard = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encoder, end, shard = Encoder.of(tokenizer, PIECES), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         held: list[bytes] = []
         found: list[dict] = []
         n = before = number = 0

@@ -82,9 +82,14 @@ def with_title_prefix(title: str, text: str) -> Column:
     return F.concat_ws("\n\n", F.nullif(F.trim(title), F.lit("")), F.col(text))
 
 
-def embed(chunks: DataFrame, dimension: int = 64, model: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> DataFrame:
+def md5_code(word: Column) -> Column:
+    """The first 32 bits of a word's md5 as a number of either sign, for stores that other systems must be able to fill."""
+    return F.conv(F.left(F.md5(word), F.lit(8)), 16, 10).cast("long") - (1 << 31)
+
+
+def embed(chunks: DataFrame, dimension: int = 64, model: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, code: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Adds ``embedding`` of unit length. ``model`` makes an encoder, once in each worker; without it Spark hashes the
-    words, and they are counted with the hash's sign in ``dimension`` places. A text without words has zeros."""
+    words by ``code``, and they are counted with the hash's sign in ``dimension`` places. A text without words has zeros."""
     if model is not None:
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -105,7 +110,7 @@ def embed(chunks: DataFrame, dimension: int = 64, model: Callable[[], Callable[[
 
         return hashes.map(one)
 
-    hashes = F.transform(F.filter(F.split(F.lower(F.coalesce("content", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.filter(F.split(F.lower(F.coalesce("content", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: code(w))
     return chunks.withColumn("embedding", counted(hashes))
 
 

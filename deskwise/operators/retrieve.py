@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from deskwise.sources.shared import bounded, written
 
@@ -192,6 +194,31 @@ def overlap_score(question: str, content: str) -> Column:
     return F.try_divide(F.size(F.array_intersect(words(question), words(content))).cast("double"), F.size(words(question)).cast("double"))
 
 
+def model_score(model: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[str, str], Column]:
+    """A scorer for :func:`rerank` that runs a model, made once in each worker, on batches of questions and contents.
+
+    Where the model can't be made or fails on a batch, its rows have no score and so keep the order they were given in.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            score = model()
+        except Exception as error:
+            logging.getLogger(__name__).warning("no model, rows keep their order: %s", error)
+            score = None
+        for questions, contents in batches:
+            found = None
+            if score is not None:
+                try:
+                    found = pd.Series(score(questions.fillna("").tolist(), contents.fillna("").tolist()), dtype="float64")
+                except Exception as error:
+                    logging.getLogger(__name__).warning("a batch without scores: %s", error)
+            yield pd.Series([None] * len(questions), dtype="float64") if found is None or len(found) != len(questions) else found
+
+    return lambda question, content: F.nanvl(scored(F.col(question), F.col(content)), F.lit(None).cast("double"))
+
+
 def rerank(candidates: DataFrame, k: int, scorer: Callable[[str, str], Column] = overlap_score) -> DataFrame:
     """Candidates (query_id, id, pos, question, content) by ``rerank_score``, the best k; equal scores keep their order
     and rows without a score follow in theirs. ``scorer`` gives a column, which may be a pandas UDF."""

@@ -165,9 +165,18 @@ def title_prefix(t: Tables) -> DataFrame:
     return t.documents.withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" ")).select("doc_id", I.with_title_prefix("title", "text").alias("content"))
 
 
-@query("i23_embed")
+@query(
+    "i23_embed",
+    """select doc_id, list_transform(v, lambda x: (case when length = 0 then 0 else x / length end)::float) as embedding from (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as length from
+    (select d.doc_id, list(coalesce(c.v, 0)::double order by r.at) as v from documents d cross join (select unnest(range(64)) as at) r left join counts c on c.doc_id = d.doc_id and c.at = r.at group by d.doc_id))""",
+    ("documents",),
+    {
+        "coded": "select doc_id, ('0x' || substr(md5(w), 1, 8))::bigint as code from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as w from documents) where w <> ''",
+        "counts": "select doc_id, code % 64 as at, sum(case when code < 2147483648 then -1 else 1 end) as v from coded group by 1, 2",
+    },
+)
 def embed(t: Tables) -> DataFrame:
-    return I.embed(t.documents.select("doc_id", F.col("text").alias("content"))).select("doc_id", "embedding")
+    return I.embed(t.documents.select("doc_id", F.col("text").alias("content")), code=I.md5_code).select("doc_id", "embedding")
 
 
 @query(

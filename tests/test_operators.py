@@ -255,3 +255,22 @@ def test_items_from_an_array_file(spark):
     path = fresh_path(spark, "items")
     spark.createDataFrame([('[{"id": "a", "relevant_urls": ["u"]},\n {"id": "b"}]',)], "value string").coalesce(1).write.text(path)
     assert sorted(r["id"] for r in io.read_items(spark, path).collect()) == ["a", "b"]
+
+
+def test_reranking_by_a_model_that_fails(spark):
+    def lengths():
+        return lambda questions, contents: [float(len(c)) for c in contents]
+
+    def failing():
+        def score(questions, contents):
+            raise RuntimeError("no answer")
+
+        return score
+
+    def missing():
+        raise OSError("no model")
+
+    rows = spark.createDataFrame([(1, "a", 0, "q", "x"), (1, "b", 1, "q", "xyz"), (1, "c", 2, "q", None)], "query_id long, id string, pos long, question string, content string")
+    order = lambda model: [r["id"] for r in retrieve.rerank(rows, 3, retrieve.model_score(model)).orderBy("pos").collect()]
+    assert order(lengths) == ["b", "a", "c"]
+    assert order(failing) == order(missing) == ["a", "b", "c"]

@@ -135,7 +135,7 @@ def approximate_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, tables:
 
     Only ids are bucketed and shuffled; the vectors of distinct candidates are fetched, and their cosines are exact. More
     tables and probes find more, more bits compare less. No bucket is capped. Vectors without neighbours, such as random
-    ones, are hard for any index: of those in the test data the default finds 0.93 and compares 0.43 of all pairs.
+    ones, are hard for any index: of those in the test data the default finds 0.93 and compares 0.41 of all pairs (sf0.1).
     """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     rows = corpus.select(F.col("id").cast("string").alias("id"), "embedding")

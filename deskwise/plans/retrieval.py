@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deskwise.functions import urls
 from deskwise.operators import evaluate as E
 from deskwise.operators import matching as M
+from deskwise.operators import mining
 from deskwise.operators import retrieve as R
 from deskwise.plans.registry import query
 from deskwise.sources.shared import written
@@ -465,3 +466,45 @@ def search_timing(t: Tables) -> DataFrame:
 @query("w7_first_of_group", "select label, vec_id from (select label, vec_id, row_number() over (partition by label order by vec_id) as k from embeddings) where k <= 3", ("embeddings",))
 def first_of_group(t: Tables) -> DataFrame:
     return t.embeddings.select("label", "vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("k")).where("k <= 3").drop("k")
+
+
+def _mined(category: str, number: int, per_document: int | None, entities: str, before: str, more: str = "") -> str:
+    """SQL of a category after the pairs: chunks that earlier ones left, in their order."""
+    ranked = f"select d.id, d.full_doc_id, {entities} as entities, concat(md5(concat_ws('|', '{42 + number}', d.id)), '|', d.id) as place from doc_chunks d {more} where (select count(*) from {before} b where list_contains(b.chunk_ids, d.id)) < 2"
+    capped = f"select * from ({ranked}) qualify row_number() over (partition by full_doc_id order by place) <= {per_document}" if per_document else ranked
+    return f"select * from {before} union all (select '{category}' as category, entities, [full_doc_id] as doc_ids, [id] as chunk_ids from ({capped}) order by place limit 15)"
+
+
+# The SQL takes pairs one after the other and counts each document's uses.
+@query(
+    "e9_mine_dataset",
+    "select concat(category, '-', md5(concat_ws('|', category, array_to_string(chunk_ids, '|'), array_to_string(entities, '|')))[:12]) as id, category, array_to_string(entities, ',') as entities, array_to_string(doc_ids, ',') as doc_ids, array_to_string(chunk_ids, ',') as chunk_ids from four",
+    NEED,
+    {
+        "noise": NOISE,
+        "joined": _JOINED,
+        "shared": """select entity, doc_a, doc_b from (select a.entity, a.full_doc_id as doc_a, b.full_doc_id as doc_b, row_number() over (partition by a.entity order by md5(concat_ws('|', '42', a.entity, a.full_doc_id, b.full_doc_id))) as k
+            from (select distinct * from joined) a join (select distinct * from joined) b on a.entity = b.entity and a.full_doc_id < b.full_doc_id where a.entity in (select entity from joined group by 1 having count(distinct full_doc_id) between 2 and 30)) where k <= 2""",
+        "placed": "select *, row_number() over (order by concat_ws('|', md5(concat_ws('|', '43', entity, doc_a, doc_b)), entity, doc_a, doc_b)) as n from shared qualify n <= 60",
+        "sizes": "select full_doc_id, count(*) as size from doc_chunks group by 1",
+        "recursive taken": """select 0::bigint as n, []::bigint[] as uses, []::bigint[] as numbers union all
+            select p.n, case when fits then list_concat(t.uses, [p.doc_a, p.doc_b]) else t.uses end, case when fits then list_append(t.numbers, p.n) else t.numbers end from taken t join placed p on p.n = t.n + 1
+            join sizes a on a.full_doc_id = p.doc_a join sizes b on b.full_doc_id = p.doc_b,
+            lateral (select len(t.numbers) < 15 and len(list_filter(t.uses, lambda u: u = p.doc_a)) < 2 * a.size and len(list_filter(t.uses, lambda u: u = p.doc_b)) < 2 * b.size as fits) f""",
+        "sides": """select p.n, 0 as side, p.doc_a as doc from placed p where list_contains((select arg_max(numbers, n) from taken), p.n)
+            union all select p.n, 1, p.doc_b from placed p where list_contains((select arg_max(numbers, n) from taken), p.n)""",
+        "turns": "select *, row_number() over (partition by doc order by n) - 1 as k from sides",
+        "ordered": "select id, full_doc_id, row_number() over (partition by full_doc_id order by md5(concat_ws('|', '42', id)), id) - 1 as k from doc_chunks",
+        "one": """select 'cross_document' as category, [any_value(p.entity)] as entities, list(t.doc order by t.side) as doc_ids, list(o.id order by t.side) as chunk_ids
+            from turns t join sizes s on s.full_doc_id = t.doc join ordered o on o.full_doc_id = t.doc and o.k = t.k % s.size join placed p on p.n = t.n group by t.n""",
+        "two": _mined("discipline", 2, 3, "[]::varchar[]", "one", "semi join (select unnest([0, 5, 10, 15, 20, 25, 30, 35, 40, 45]) as m) u on d.full_doc_id = u.m"),
+        "named": "select full_doc_id, list_sort(list(distinct entity)) as entities from joined group by 1 having len(entities) >= 2",
+        "three": _mined("conditional", 3, None, "e.entities", "two", "join named e on e.full_doc_id = d.full_doc_id"),
+        "four": _mined("direct", 4, None, "[]::varchar[]", "three"),
+    },
+)
+def mine_dataset(t: Tables) -> DataFrame:
+    chunks = t.doc_chunks.join(t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), "vec_id", "left")
+    disciplines = t.doc_chunks.where("full_doc_id % 5 = 0").select("full_doc_id").distinct()
+    items = mining.mine_dataset(chunks, t.entity_chunks, t.spark.sql(NOISE), disciplines, dict.fromkeys(mining.CATEGORIES, 15), per_chunk=2)
+    return items.select("id", "category", *(F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("entities", "doc_ids", "chunk_ids")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskwise.plans.registry import query
 from deskwise.sources import io
-from deskwise.sources.shared import fresh_path
+from deskwise.sources.shared import fresh_path, written
 from deskwise.sources.tables import Tables
 from deskwise.streaming import streams as S
 
@@ -26,9 +28,20 @@ def replay_files(rows: DataFrame, name: str, order: str) -> str:
     return path
 
 
-def replayed_at_once(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """A table as a stream of many files in one trigger: no row is late, and what keeps a state sorts its own rows."""
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(replay_files(rows, name, order))
+def arriving(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str, name: str, order: str, parts: int = 2, reports: list | None = None) -> DataFrame:
+    """What a stream writes whose table comes in parts, in the order of a number or time. The stream is stopped after
+    each part and goes on from its checkpoint when the next one is there."""
+    source, path = fresh_path(rows.sparkSession, name), fresh_path(rows.sparkSession, f"stream-{name}")
+    at = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order] else F.col(order).cast("double")
+    placed = written(rows.withColumn("_at", at), name)
+    bounds = placed.approxQuantile("_at", [i / parts for i in range(1, parts)], 0.01)
+    part = sum((F.coalesce(F.col("_at") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    out = None
+    for number in range(parts):
+        placed.where(part == number).drop("_at").write.mode("append").parquet(source)
+        stream = rows.sparkSession.readStream.schema(rows.schema).parquet(source)
+        out = S.drain(transform(stream), mode, name, path, reports)
+    return out
 
 
 @query("x1_questions_per_day", "select bucket, questions from (select date_trunc('day', ts)::timestamp as bucket, count(*) as questions from events group by 1)", ("events",))
@@ -40,6 +53,17 @@ def questions_per_day(t: Tables) -> DataFrame:
     return S.latest_updates(found, "bucket").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "questions")
 
 
+@query(
+    "x1_days_in_order",
+    "select date_trunc('day', ts)::timestamp as bucket, count(*) as questions from events group by 1 having date_trunc('day', ts)::timestamp + interval 1 day <= (select max(ts) from events) - interval 6 hours",
+    ("events",),
+)
+def days_in_order(t: Tables) -> DataFrame:
+    # Rows come in the order of time, so a watermark of hours loses none; the days that it hasn't passed stay open.
+    found = arriving(t.events, lambda rows: S.questions_per_window(rows, late="6 hours"), "append", "x1", "ts")
+    return found.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "questions")
+
+
 @query(
     "x2_user_sessions",
     """select * from (select user_id, min(ts)::timestamp as started_at, max(ts)::timestamp + interval 6 hours as ended_at, count(*) as events from
@@ -49,25 +73,24 @@ def questions_per_day(t: Tables) -> DataFrame:
     ("events",),
 )
 def user_sessions(t: Tables) -> DataFrame:
-    found = S.drain(S.user_sessions(replayed_at_once(t.events, "events", "ts"), gap="6 hours"), "append", "x2")
+    found = arriving(t.events, lambda rows: S.user_sessions(rows, gap="6 hours"), "append", "x2", "ts")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
 
 
 @query("x3_rolling_contexts", r"select session_id, right(string_agg(concat(role, ': ', content), E'\n' order by id), 500) as context from messages group by 1", ("messages",))
 def rolling_contexts(t: Tables) -> DataFrame:
-    stream = replayed_at_once(t.messages.select("session_id", "id", "role", "content"), "messages", "id")
-    return S.latest_updates(S.drain(S.rolling_contexts(stream, 500), "update", "x3"), "session_id")
+    messages = t.messages.select("session_id", "id", "role", "content")
+    return S.latest_updates(arriving(messages, lambda rows: S.rolling_contexts(rows, 500), "update", "x3", "id"), "session_id")
 
 
 @query("x4_feedback_stream", "select event_id, case when value = lag(value) over (partition by target order by ts, event_id) then 'already_rated' else 'ok' end as result from feedback", ("feedback",))
 def feedback_stream(t: Tables) -> DataFrame:
-    return S.drain(S.feedback_stream(replayed_at_once(t.feedback, "feedback", "ts")), "append", "x4").select("event_id", "result")
+    return arriving(t.feedback, S.feedback_stream, "append", "x4", "ts").select("event_id", "result")
 
 
 @query("x5_subscription_stream", "select user_id, count(*) % 2 = 1 as is_subscribed, count(*) as toggles from toggles group by 1", ("toggles",))
 def subscription_stream(t: Tables) -> DataFrame:
-    stream = replayed(t.toggles.withColumn("ts", F.col("ts").cast("timestamp")), "toggles")
-    return S.latest_updates(S.drain(S.subscription_stream(stream), "update", "x5"), "user_id").select("user_id", "is_subscribed", "toggles")
+    return S.latest_updates(arriving(t.toggles, S.subscription_stream, "update", "x5", "ts"), "user_id").select("user_id", "is_subscribed", "toggles")
 
 
 @query("x6_mailing_stream", "select distinct concat('n:', user_id % 50) as recipient_key from events", ("events",))

@@ -8,28 +8,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from deskwise.operators import ingest
 from deskwise.sources import io
 from deskwise.sources.shared import fresh_path
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, mode: str, name: str, path: str | None = None, reports: list | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote.
 
     Output that is only added goes to Parquet files; updates are kept with their batch number, and the caller picks the
     last ones. A batch that runs again after a failure replaces what it wrote. Checkpoint and output are in the shared
-    folder.
+    folder; with ``path`` a stream goes on where an earlier run of that path ended, and what all runs wrote is returned.
+    State is in RocksDB, on disk beside the tasks. ``reports`` gets the progress of each batch.
     """
     spark = stream.sparkSession
-    path = fresh_path(spark, f"stream-{name}")
+    path = path or fresh_path(spark, f"stream-{name}")
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{path}/out").start()
+        writer = writer.outputMode("append").format("parquet").option("path", f"{path}/out")
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")).start()
+        writer = writer.outputMode(mode).foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/out/_batch={number}"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     query.awaitTermination()
+    if reports is not None:
+        reports.extend(query.recentProgress)
     schema = stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
     # Folders that begin with an underscore are hidden unless they name a partition, as these do.
     return spark.read.schema(schema).parquet(f"{path}/out")
@@ -48,49 +62,119 @@ def user_sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", la
     return sessions.select("user_id", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("ended_at"), "events")
 
 
-def rolling_contexts(messages: DataFrame, chars: int = 2000) -> DataFrame:
-    """``session_id, context`` after each batch: the last ``chars`` characters of each session's messages (session_id,
-    id, role, content). The state of a session is that text and the last message's id."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("id")
-        for role, content in zip(rows["role"], rows["content"], strict=True):
-            text = (f"{text}\n{role}: {content}" if text else f"{role}: {content}")[-chars:]
-        state.update((text,))
+def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, mode, time)
+
+
+class _Contexts(StatefulProcessor):
+    """A session's state is the end of its text; with ``idle`` a timer ends it so long after its last message."""
+
+    def __init__(self, chars: int, idle: int | None):
+        self.chars, self.idle = chars, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.text = handle, handle.getValueState("context", "context string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        recent: list[tuple] = []
+        last, cut = None, False
+        for batch in rows:
+            lines = (f"{r}: {'' if pd.isna(c) else c}" for r, c in zip(batch["role"], batch["content"], strict=True))
+            recent = sorted([*recent, *zip(batch["id"], lines, strict=True)])
+            if self.idle is not None and pd.notna(latest := batch["ms"].max()):
+                last = int(latest) if last is None else max(last, int(latest))
+            # Lines before those that fill the context are dropped at once, however many messages a session has.
+            size, first = 0, len(recent)
+            while first and size <= self.chars:
+                first -= 1
+                size += len(recent[first][1]) + 1
+            cut, recent = cut or first > 0, recent[first:]
+        text = "\n".join(line for _, line in recent)
+        if not cut and self.text.exists():
+            text = f"{self.text.get()[0]}\n{text}"
+        text = text[-self.chars :]
+        self.text.update((text,))
+        if last is not None:
+            for timer in list(self.handle.listTimers()):
+                last = max(last, timer - self.idle)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.idle)
         yield pd.DataFrame({"session_id": [key[0]], "context": [text]})
 
-    return messages.groupBy("session_id").applyInPandasWithState(update, "session_id long, context string", "context string", "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.text.clear()
+        yield pd.DataFrame({"session_id": [key[0]], "context": [None]})
 
+    def close(self) -> None:
+        pass
 
-def feedback_stream(feedback: DataFrame) -> DataFrame:
-    """``event_id, target, result`` of each feedback (event_id, target, ts, value): ok, or already_rated if the value
-    stands. The state of a target is its value."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+def rolling_contexts(messages: DataFrame, chars: int = 2000, idle: str | None = None, ts: str = "created_at", late: str = "1 hour") -> DataFrame:
+    """``session_id, context`` after each batch: the last ``chars`` (at least 1) characters of each session's messages
+    (session_id, id, role, content), in the order of id within a batch; a null content is empty.
+
+    With ``idle`` a session whose last message (``ts``) is so long before the watermark ends: its state goes, and it is
+    given out once more with a null context. What comes later begins anew.
+    """
+    if idle is None:
+        return _keyed(messages.select("session_id", "id", "role", "content"), "session_id", _Contexts(chars, None), "session_id long, context string", "update", "none")
+    at = F.col(ts).cast("timestamp")
+    rows = messages.select("session_id", "id", "role", "content", F.unix_millis(at).alias("ms"), at.alias("at")).withWatermark("at", late)
+    return _keyed(rows, "session_id", _Contexts(chars, int(pd.Timedelta(idle).total_seconds() * 1000)), "session_id long, context string", "update", "eventtime")
+
+
+class _Feedback(StatefulProcessor):
+    """A target's state is its value."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", "value string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        value = self.value.get()[0] if self.value.exists() else None
+        sorted_rows = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
-        for event, now in zip(rows["event_id"], rows["value"], strict=True):
+        for event, now in zip(sorted_rows["event_id"], sorted_rows["value"], strict=True):
             out.append((event, key[0], "already_rated" if now == value else "ok"))
             value = now
-        state.update((value,))
+        self.value.update((value,))
         yield pd.DataFrame(out, columns=["event_id", "target", "result"])
 
-    return feedback.groupBy("target").applyInPandasWithState(update, "event_id long, target long, result string", "value string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def subscription_stream(toggles: DataFrame) -> DataFrame:
-    """``user_id, is_subscribed, since, toggles`` after each batch of toggles (event_id, user_id, ts)."""
+def feedback_stream(feedback: DataFrame) -> DataFrame:
+    """``event_id, target, result`` of each feedback (event_id, target, ts, value): ok, or already_rated if the value
+    stands. The state of a target is its value. A batch's rows of one target are sorted in one task, so
+    ``maxFilesPerTrigger`` bounds them."""
+    rows = feedback.select("event_id", "target", "ts", "value")
+    return _keyed(rows, "target", _Feedback(), "event_id long, target long, result string", "append", "none")
+
+
+class _Toggles(StatefulProcessor):
+    """A user's state is the number of toggles and the time of the last one."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        n += len(rows)
-        state.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "is_subscribed": [n % 2 == 1], "since": [rows["ts"].iloc[-1]], "toggles": [n]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("toggles", "toggles long, since long")
 
-    return toggles.groupBy("user_id").applyInPandasWithState(update, "user_id long, is_subscribed boolean, since timestamp, toggles long", "toggles long", "update", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        n, since = self.state.get() if self.state.exists() else (0, None)
+        for batch in rows:
+            n += len(batch)
+            if pd.notna(last := batch["since"].max()):
+                since = int(last) if since is None else max(since, int(last))
+        self.state.update((n, since))
+        yield pd.DataFrame({"user_id": [key[0]], "is_subscribed": [n % 2 == 1], "since": [since], "toggles": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def subscription_stream(toggles: DataFrame) -> DataFrame:
+    """``user_id, is_subscribed, since, toggles`` after each batch of toggles (event_id, user_id, ts)."""
+    rows = toggles.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("since"))
+    found = _keyed(rows, "user_id", _Toggles(), "user_id long, is_subscribed boolean, since long, toggles long", "update", "none")
+    return found.withColumn("since", F.timestamp_micros("since"))
 
 
 def mailing_stream(recipients: DataFrame, ts: str = "ts", within: str = "2 days") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskwise.operators.evaluate import numbered
 from deskwise.sources import io
-from deskwise.sources.shared import written
+from deskwise.sources.shared import bounded, fresh_path, written
+from deskwise.sources.versions import Store
 
 #: Where a sentence or an item of a list ends, and blank lines between paragraphs.
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[А-ЯЁA-Z])|(?<=;)\s*\n(?=\s*—)|(?<=:)\s*\n(?=\s*—)")
@@ -131,17 +134,51 @@ def new_keys(candidates: DataFrame, stored: DataFrame, key: str, order: str) ->
     return fresh.withColumn("_k", last).where("_k = 1").drop("_k")
 
 
-def incremental(docs: DataFrame, stored: DataFrame, force: bool = False, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The store's next version and ``source_type, total, indexed, skipped``. Documents (doc_id, source_type, ...) that
-    are stored are skipped, or with ``force`` replaced. Of rows that share a doc_id the last stays, in the order of the
-    column ``order`` if it is given, else of the rows in the table."""
+def fresh_documents(docs: DataFrame, stored: DataFrame | None, force: bool = False, order: str | None = None) -> DataFrame:
+    """Documents (doc_id, ...) that aren't stored (doc_id), or with ``force`` all. Of rows that share a doc_id the last
+    stays, in the order of the column ``order`` if it is given, else of the rows in the table."""
     placed = docs.withColumn("_place", F.monotonically_increasing_id() if order is None else F.col(order))
     last = placed.groupBy("doc_id").agg(F.max_by(F.struct(*(c for c in docs.columns if c != "doc_id")), "_place").alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
-    fresh = last if force else last.join(stored.select("doc_id"), "doc_id", "left_anti")
-    kept = stored.join(docs.select("doc_id"), "doc_id", "left_anti") if force else stored
+    return last if force or stored is None else last.join(stored.select("doc_id"), "doc_id", "left_anti")
+
+
+def index_summary(docs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``source_type, total, indexed, skipped`` of documents, of which some are fresh (doc_id)."""
     marked = docs.select("doc_id", "source_type").join(fresh.select("doc_id", F.lit(1).alias("_n")), "doc_id", "left")
-    summary = marked.groupBy("source_type").agg(F.count("*").alias("total"), F.count("_n").alias("indexed"), F.count_if(F.col("_n").isNull()).alias("skipped"))
-    return kept.unionByName(fresh.select(*kept.columns)), summary
+    return marked.groupBy("source_type").agg(F.count("*").alias("total"), F.count("_n").alias("indexed"), F.count_if(F.col("_n").isNull()).alias("skipped"))
+
+
+def incremental(docs: DataFrame, stored: DataFrame, force: bool = False, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The store's next version and ``source_type, total, indexed, skipped``. Documents (doc_id, source_type, ...) that
+    are stored are skipped, or with ``force`` replaced; see :func:`fresh_documents`."""
+    fresh = fresh_documents(docs, stored, force, order)
+    kept = stored.join(docs.select("doc_id"), "doc_id", "left_anti") if force else stored
+    return kept.unionByName(fresh.select(*kept.columns)), index_summary(docs, fresh)
+
+
+def add_documents(
+    store: Store,
+    docs: DataFrame,
+    batch: str,
+    force: bool = False,
+    order: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    encode: Callable[[DataFrame], DataFrame] = embed,
+) -> DataFrame:
+    """A version of the store with these documents (doc_id, text, ...) in its table ``docs`` and their chunks with vectors
+    in ``chunks``; those that were added are returned.
+
+    Documents that are stored are skipped, or with ``force`` go with all their chunks and come anew. A batch of the same
+    name replaces what it did before, so it may be repeated after a failure. Rows without doc_id aren't documents.
+    """
+    stored = store.read("docs", without=batch)
+    change = store.change(batch)
+    fresh = change.add("docs", fresh_documents(docs.where("doc_id is not null"), stored, force, order))
+    if force and stored is not None:
+        change.remove(fresh)
+    change.add("chunks", encode((prepare or sentence_chunks)(fresh)))
+    change.commit()
+    return fresh
 
 
 def delete_documents(ids: DataFrame, docs: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -185,13 +222,36 @@ def latest_items(items: DataFrame, limit: int) -> DataFrame:
     return items.orderBy("page", "pos").limit(min(max(limit, 1), 20)).withColumn("line", F.concat(F.lit("- "), "title", dated, at))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """``page_id``: the roots (page_id, with_children) and, where asked for, all pages below (edges: parent, child).
 
-    Level by level; pages that were seen aren't followed again, so cycles end. ``written`` cuts the plan of each level.
+    Each page looks up its ancestors in steps that double, so the rounds are the logarithm of the depth. A page that meets
+    a root is done, one that comes to a top is dropped, and cycles end when a step is as long as there are pages. Where a
+    page has several parents, the pages are walked level by level. ``written`` cuts the plan of each round.
     """
+    opened = written(roots.where("with_children").select("page_id").distinct())
+    parents = written(edges.where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("above"), (F.max("parent") > F.min("parent")).alias("several")))
+    if not parents.where("several").isEmpty():
+        return _below(edges, roots, opened, written)
+    met = bounded(opened.select(F.col("page_id").alias("above"), F.lit(True).alias("_met")))
+    rows = written(parents.join(met, "above", "left").select(F.col("child").alias("page_id"), "above", F.coalesce("_met", F.lit(False)).alias("met")))
+    most, step, done = rows.count(), 1, []
+    while True:
+        done.append(rows.where("met").select("page_id", "above", "met"))
+        live = rows.where("not met")
+        if step >= most or live.isEmpty():
+            break
+        # A page that isn't there has no ancestor left.
+        known = functools.reduce(DataFrame.union, done, live).select(F.col("page_id").alias("_page"), F.col("above").alias("_above"), F.col("met").alias("_met"))
+        rows = written(live.join(known, F.col("above") == F.col("_page")).select("page_id", F.col("_above").alias("above"), F.col("_met").alias("met")))
+        step *= 2
+    found = functools.reduce(DataFrame.union, done).select("page_id")
+    return roots.select("page_id").union(found).distinct()
+
+
+def _below(edges: DataFrame, roots: DataFrame, level: DataFrame, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Level by level; pages that were seen aren't followed again."""
     seen = written(roots.select("page_id").distinct())
-    level = written(roots.where("with_children").select("page_id").distinct())
     while not level.isEmpty():
         below = level.join(edges, level["page_id"] == edges["parent"]).select(F.col("child").alias("page_id")).distinct()
         level = written(below.join(seen, "page_id", "left_anti"))
@@ -209,29 +269,51 @@ def pdf_attachments(attachments: DataFrame, base: str) -> DataFrame:
     return attachments.where(pdf).withColumn("url", F.when(F.col("download").startswith("http"), F.col("download")).otherwise(F.concat(F.lit(base.rstrip("/")), "download")))
 
 
-def crawl_frontier(links: DataFrame, seeds: DataFrame, max_pages: int, written: Callable[[DataFrame], DataFrame], exclude: str = r"$^", per_page: int = 100) -> DataFrame:
-    """``url, level``: pages reached from the seeds (url) over links (url, pos, link) on the same host.
+def crawl_frontier(links: DataFrame, seeds: DataFrame, max_pages: int, written: Callable[[DataFrame], DataFrame] = written, exclude: str = r"$^", per_page: int = 100) -> DataFrame:
+    """``url, level, place``: pages reached from the seeds (url) over links (url, pos, link) on the same host.
 
-    Breadth first: queries and fragments are dropped, addresses that match ``exclude`` and pages already seen aren't
-    followed, a page adds up to ``per_page`` new links, and the first ``max_pages`` by level and discovery stay.
+    Breadth first, in the order of the places: queries and fragments are dropped, addresses that match ``exclude`` and
+    pages already found aren't followed, a page adds up to ``per_page`` links that no page before it has added, and the
+    first ``max_pages`` stay. Places are counted through all levels; seeds are in the order of their addresses.
     """
+    spark, folder = links.sparkSession, fresh_path(links.sparkSession, "frontier")
     bare = lambda c: F.regexp_replace(c, r"[?#].*$", "")
     host = lambda c: F.regexp_extract(c, r"^[a-z]+://([^/]+)", 1)
     ways = links.select(bare(F.col("url")).alias("page"), "pos", bare(F.col("link")).alias("next"))
-    ways = written(ways.where((host(F.col("page")) == host(F.col("next"))) & ~F.col("next").rlike(exclude)))
-    seen = written(seeds.select(bare(F.col("url")).alias("url")).distinct().select("url", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place")))
-    level, size = seen, seen.count()
-    while size < max_pages:
-        found = ways.join(level.select(F.col("url").alias("page"), "place"), "page").join(seen.select(F.col("url").alias("next")), "next", "left_anti")
-        found = found.groupBy("page", "place", "next").agg(F.min("pos").alias("pos"))
-        found = found.withColumn("_k", F.row_number().over(Window.partitionBy("page").orderBy("pos", "next"))).where(F.col("_k") <= per_page)
-        first = found.groupBy("next").agg(F.min(F.struct("place", "pos", "page")).alias("at"))
-        number = level.agg(F.max("level").alias("n")).first()["n"] + 1
-        # At most the pages that are still wanted get a number, so one task orders no more than those.
-        some = first.orderBy("at", "next").limit(max_pages - size)
-        level = written(some.select(F.col("next").alias("url"), F.lit(number).alias("level"), (F.row_number().over(Window.orderBy("at", "next")) - 1).cast("long").alias("place")))
+    ways = ways.where((host(F.col("page")) == host(F.col("next"))) & ~F.col("next").rlike(exclude))
+    ways = written(ways.groupBy("page", "next").agg(F.min("pos").alias("pos")))
+    first = seeds.where("url is not null").select(bare(F.col("url")).alias("next")).distinct()
+    level, size, number = numbered(first, "next").select(F.col("next").alias("url"), F.col("i").alias("place")), 0, 0
+    while True:
+        # Each level is a folder of its own; those before it aren't written again.
+        path = f"{folder}/level={number}"
+        level.where(F.col("place") < max_pages).write.mode("overwrite").parquet(path)
+        level = spark.read.schema("url string, place long").parquet(path)
+        seen = spark.read.schema("url string, place long, level int").parquet(folder)
         added = level.count()
-        if not added:
-            break
-        seen, size = written(seen.union(level)), size + added
-    return seen.orderBy("level", "place", "url").limit(max_pages).select("url", "level")
+        size, number = size + added, number + 1
+        if not added or size >= max_pages:
+            return seen.select("url", "level", "place")
+        offered = ways.join(level.withColumnRenamed("url", "page"), "page").join(seen.select(F.col("url").alias("next")), "next", "left_anti")
+        taken = _taken(written(offered.select("page", "place", "pos", "next")), per_page, written)
+        level = numbered(taken, "at", "next").select(F.col("next").alias("url"), (F.col("i") + size).alias("place"))
+
+
+def _taken(offered: DataFrame, per_page: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``next, at``: the links (page, place, pos, next) that pages add one after the other, each its first ``per_page``
+    that none before it has added.
+
+    All pages ask at once for their first links; a link goes to the first page that asks, and pages that were turned away
+    ask for further ones, until none is. A page that has no more links than it may add has nothing to ask for again.
+    """
+    at = F.min(F.struct("place", "pos")).alias("at")
+    while True:
+        ranked = offered.withColumn("_k", F.row_number().over(Window.partitionBy("page").orderBy("pos", "next")))
+        asked = ranked.where(F.col("_k") <= per_page)
+        taken = asked.groupBy("next").agg(at)
+        full = offered.groupBy("page").agg(F.count("*").alias("_n")).where(F.col("_n") > per_page).select("page")
+        lost = asked.join(full, "page", "left_semi").join(taken, "next").where("place > at.place").select("page", "next")
+        lost = written(lost)
+        if lost.isEmpty():
+            return taken
+        offered = written(offered.join(lost, ["page", "next"], "left_anti"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from deskwise.plans.registry import query
 from deskwise.sources import io
 from deskwise.sources.shared import fresh_path, written
 from deskwise.sources.tables import Tables
+from deskwise.sources.versions import Store
 
 EDGES = "select page_id as child, case when page_id % 7 = 3 then null else page_id // 3 end as parent from pages"
 
@@ -91,11 +94,28 @@ def distinct_links(t: Tables) -> DataFrame:
     return H.allowed_links(t.pages, suffix="")
 
 
-@query("i13_crawl_frontier")
+@query(
+    "i13_crawl_frontier",
+    "select concat('https://h.example.org/', n) as url, (select count(*) from levels where last < n)::int as level, n as place from (select unnest(range(3 * (select count(*) from pages) + 1)) as n)",
+    ("pages",),
+    {"recursive levels": "select 0::bigint as last union all select 3 * last + 3 from levels where last < (select 3 * count(*) from pages)"},
+)
 def crawl_frontier(t: Tables) -> DataFrame:
+    """Each page links to three others, as in a tree; pages of the last level have no row of their own."""
     pages = t.pages.withColumn("url", F.concat(F.lit("https://h.example.org/"), F.col("page_id").cast("string")))
     ways = pages.crossJoin(F.broadcast(t.spark.range(3).withColumnRenamed("id", "pos"))).select("url", "pos", F.concat(F.lit("https://h.example.org/"), (F.col("page_id") * 3 + F.col("pos") + 1).cast("string")).alias("link"))
-    return I.crawl_frontier(ways, pages.where("page_id = 0").select("url"), 100, written)
+    return I.crawl_frontier(ways, pages.where("page_id = 0").select("url"), 10**9)
+
+
+@query(
+    "i13_linked_pages",
+    """select url, min(level)::int as level from (select regexp_replace(url, '[?#].*$', '') as url, 0 as level from pages where url is not null
+    union all select concat(regexp_extract(url, '^[a-z]+://[^/]+'), regexp_replace(unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)), '[?#].*$', '')), 1 from pages) group by 1""",
+    ("pages",),
+)
+def linked_pages(t: Tables) -> DataFrame:
+    """Over the links in the pages themselves."""
+    return I.crawl_frontier(H.links(t.pages).select("url", "pos", "link"), t.pages.select("url"), 10**9).select("url", "level")
 
 
 NEWS = "select page_id // 10 as page, page_id % 10 as pos, concat('https://n.example.org/', cast(page_id % 90 as string)) as url, concat('News ', cast(page_id as string)) as title, case when page_id % 2 = 0 then 'c' else '' end as category, case when page_id % 3 = 0 then '1 May' end as date from pages"
@@ -165,16 +185,16 @@ def title_prefix(t: Tables) -> DataFrame:
     return t.documents.withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" ")).select("doc_id", I.with_title_prefix("title", "text").alias("content"))
 
 
-@query(
-    "i23_embed",
-    """select doc_id, list_transform(v, lambda x: (case when length = 0 then 0 else x / length end)::float) as embedding from (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as length from
-    (select d.doc_id, list(coalesce(c.v, 0)::double order by r.at) as v from documents d cross join (select unnest(range(64)) as at) r left join counts c on c.doc_id = d.doc_id and c.at = r.at group by d.doc_id))""",
-    ("documents",),
-    {
-        "coded": "select doc_id, ('0x' || substr(md5(w), 1, 8))::bigint as code from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as w from documents) where w <> ''",
-        "counts": "select doc_id, code % 64 as at, sum(case when code < 2147483648 then -1 else 1 end) as v from coded group by 1, 2",
-    },
-)
+#: Counts of words by md5 in 64 places, and vectors of them.
+EMBEDDED = {
+    "coded": "select doc_id, ('0x' || substr(md5(w), 1, 8))::bigint as code from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as w from documents) where w <> ''",
+    "counts": "select doc_id, code % 64 as at, sum(case when code < 2147483648 then -1 else 1 end) as v from coded group by 1, 2",
+}
+EMBEDDED_SQL = """select doc_id, list_transform(v, lambda x: (case when length = 0 then 0 else x / length end)::float) as embedding from (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as length from
+    (select d.doc_id, list(coalesce(c.v, 0)::double order by r.at) as v from documents d cross join (select unnest(range(64)) as at) r left join counts c on c.doc_id = d.doc_id and c.at = r.at group by d.doc_id))"""
+
+
+@query("i23_embed", EMBEDDED_SQL, ("documents",), EMBEDDED)
 def embed(t: Tables) -> DataFrame:
     return I.embed(t.documents.select("doc_id", F.col("text").alias("content")), code=I.md5_code).select("doc_id", "embedding")
 
@@ -207,6 +227,27 @@ def incremental_store(t: Tables) -> DataFrame:
     return I.incremental(typed(t), typed(t).where("doc_id % 3 = 0"))[0].select("doc_id", "source_type")
 
 
+VERSIONS = """select 1 as version, doc_id, trim(text) as content from documents where doc_id % 3 = 0
+    union all select 2, doc_id, trim(text) from documents
+    union all select v, doc_id, trim(case when doc_id % 4 = 0 then concat('new ', text) else text end) from documents cross join (select unnest([3, 4]) as v) where v = 3 or doc_id % 10 <> 7"""
+
+
+@query("i25_versions", "select * from versions where content <> ''", ("documents",), {"versions": VERSIONS})
+def versions(t: Tables) -> DataFrame:
+    """Some documents, then all, some that change, and some that go: the chunks of each version, read at the end."""
+    store = Store(t.spark, fresh_path(t.spark, "store"))
+    docs = t.documents.select("doc_id", "text", F.lit("page").alias("source_type"))
+    whole = lambda rows: I.whole_doc_chunks(rows, ("page",))
+    I.add_documents(store, docs.where("doc_id % 3 = 0"), "some", prepare=whole)
+    I.add_documents(store, docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "skipped").otherwise(F.col("text"))), "all", prepare=whole)
+    I.add_documents(store, docs.where("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("new "), "text")), "changed", force=True, prepare=whole)
+    gone = store.change("gone")
+    gone.remove(docs.where("doc_id % 10 = 7"))
+    gone.commit()
+    read = [store.read("chunks", v).select(F.lit(v).alias("version"), "doc_id", "content") for v in range(1, 5)]
+    return functools.reduce(DataFrame.unionByName, read)
+
+
 @query("i26_delete_documents", "select vec_id from embeddings where vec_id % 50 not in (3, 7, 9)", ("embeddings",))
 def delete_documents(t: Tables) -> DataFrame:
     chunks = t.doc_chunks.select(F.col("full_doc_id").alias("doc_id"), F.col("id").alias("chunk_id"))

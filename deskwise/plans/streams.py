@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deskwise.operators import ingest
+from deskwise.plans.ingestion import EMBEDDED, EMBEDDED_SQL
 from deskwise.plans.registry import query
 from deskwise.sources import io
 from deskwise.sources.shared import fresh_path, written
 from deskwise.sources.tables import Tables
+from deskwise.sources.versions import Store
 from deskwise.streaming import streams as S
 
 
@@ -102,8 +105,17 @@ def mailing_stream(t: Tables) -> DataFrame:
 @query("x7_ingest_stream", "select distinct doc_id from documents where trim(text) <> ''", ("documents",))
 def ingest_stream(t: Tables) -> DataFrame:
     twice = t.documents.select("doc_id", "text").unionByName(t.documents.select("doc_id", "text").where("doc_id % 4 = 0"))
-    store = S.ingest_stream(replayed(twice, "documents"), fresh_path(t.spark, "store"))
-    return store.groupBy("doc_id", "chunk_order_index").count().where("count = 1").select("doc_id").distinct()
+    store = S.ingest_stream(replayed(twice, "documents"), Store(t.spark, fresh_path(t.spark, "store")))
+    return store.read("chunks").groupBy("doc_id", "chunk_order_index").count().where("count = 1").select("doc_id").distinct()
+
+
+@query("x7_stored_chunks", f"select e.doc_id, trim(d.text) as content, embedding from ({EMBEDDED_SQL}) e join documents d using (doc_id) where trim(d.text) <> ''", ("documents",), EMBEDDED)
+def stored_chunks(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text", F.lit("page").alias("source_type"))
+    store = Store(t.spark, fresh_path(t.spark, "store"))
+    whole = lambda rows: ingest.whole_doc_chunks(rows, ("page",))
+    S.ingest_stream(replayed(docs.unionByName(docs.where("doc_id % 4 = 0")), "documents"), store, prepare=whole, encode=lambda rows: ingest.embed(rows, code=ingest.md5_code))
+    return store.read("chunks").select("doc_id", "content", "embedding")
 
 
 @query("x8_trace_states", "select request_id, count(*) as steps, arg_max(phase, step) as phase from traces group by 1", ("traces",))

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from deskwise.operators import ingest
-from deskwise.sources import io
 from deskwise.sources.shared import fresh_path
+from deskwise.sources.versions import Store
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -182,23 +182,20 @@ def mailing_stream(recipients: DataFrame, ts: str = "ts", within: str = "2 days"
     return recipients.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", within).dropDuplicatesWithinWatermark(["recipient_key"]).drop("_ts")
 
 
-def ingest_stream(documents: DataFrame, store: str, prepare: Callable[[DataFrame], DataFrame] = ingest.sentence_chunks) -> DataFrame:
-    """Documents (doc_id, text, ...) of a stream that the store hasn't are chunked, embedded and added to it.
+def ingest_stream(documents: DataFrame, store: Store, name: str = "documents", force: bool = False, prepare: Callable[[DataFrame], DataFrame] = ingest.sentence_chunks, encode: Callable[[DataFrame], DataFrame] = ingest.embed) -> Store:
+    """Documents (doc_id, text, ...) of a stream that the store hasn't are chunked, embedded and added to it, or with
+    ``force`` replace those that it has.
 
-    Each batch writes a folder of its own, so one that runs again after a failure replaces what it wrote.
+    Each batch is a version of the store, so one that runs again after a failure replaces what it did. A stream of the same
+    ``name`` goes on where the last run of it ended.
     """
-    spark = documents.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["doc_id"])
-        if io.corpus_stats(spark, {"store": store}).first()["rows"]:
-            known = spark.read.parquet(store).where(F.col("batch") != number).select("doc_id").distinct()
-            fresh = fresh.join(known, "doc_id", "left_anti")
-        ingest.embed(prepare(fresh)).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
+        ingest.add_documents(store, batch, f"{name}-{number}", force, prepare=prepare, encode=encode)
 
-    query = documents.writeStream.foreachBatch(add).option("checkpointLocation", fresh_path(spark, "ingest-checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(store).drop("batch")
+    writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", f"{store.path}/checkpoints/{name}").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return store
 
 
 def trace_states(traces: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from deskwise.operators import evaluate, matching, html, ingest, retrieve, state
 from deskwise.sources import io
 from deskwise.sources.shared import fresh_path
+from deskwise.sources.versions import Store
 from deskwise.streaming import streams as S
 from deskwise.plans import streams
 from deskwise.plans.queries import QUERIES
@@ -79,12 +80,12 @@ def test_last_row_of_a_document(spark):
 
 
 def test_batches_that_run_again(spark):
-    """A batch whose folder is there already is replaced, not added."""
+    """A batch that is there already is replaced, not added."""
     docs = spark.createDataFrame([(1, "One sentence. Another one."), (2, "Text.")], "doc_id long, text string")
-    path, store = fresh_path(spark, "docs"), fresh_path(spark, "store")
+    path, store = fresh_path(spark, "docs"), Store(spark, fresh_path(spark, "store"))
     docs.write.parquet(path)
-    ingest.embed(ingest.sentence_chunks(docs.where("doc_id = 1"))).write.parquet(f"{store}/batch=0")
-    out = S.ingest_stream(spark.readStream.schema(docs.schema).parquet(path), store)
+    ingest.add_documents(store, docs.where("doc_id = 1"), "documents-0")
+    out = S.ingest_stream(spark.readStream.schema(docs.schema).parquet(path), store).read("chunks")
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
 
 

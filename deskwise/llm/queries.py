@@ -57,7 +57,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spots.fingerprints(table(spark, sf_dir, "documents"))
+    return spots.fingerprints(table(spark, sf_dir, "documents"), near=True)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ MARKDOWN = (
 )
 #: Those of them that a message gets right before it is sent.
 LIGHT = (MARKDOWN[2], MARKDOWN[3], MARKDOWN[5], MARKDOWN[6], MARKDOWN[11])
+#: Fixed value: an address, which doesn't end in punctuation.
 _URL = r"""https?://[^\s<>\[\](){}"']*[^\s<>\[\](){}"'.,;:!]"""
 
 
@@ -92,13 +93,21 @@ def extract_links(text: str | Column, more: str = "подробнее:", heading
     return F.struct(F.regexp_replace(strip(F.array_join(rest, "\n")), r"\n{3,}", "\n\n").alias("text"), F.array_distinct(found).alias("links"))
 
 
+#: What goes from a raw answer, in this order.
+ANSWER = (
+    (r"(?iu)^нет\.\s*", ""),
+    (r"^\([^)]*\)\s*", ""),
+    (r"\n*[Ии]спользованн?ые?\s+источники:\s*[\d,\s]+\n*", "\n"),
+)
+
+
 def postprocess(text: str, longest: int = 1500) -> Column:
     """``text, links`` of a raw answer: markdown, a leading "no." and bracket, and the line of used sources go, links are
     taken out, and what is left is cut."""
-    out = F.regexp_replace(clean_markdown(text), r"(?iu)^нет\.\s*", "")
-    out = F.regexp_replace(out, r"^\([^)]*\)\s*", "")
-    out = strip(F.regexp_replace(out, r"\n*[Ии]спользованн?ые?\s+источники:\s*[\d,\s]+\n*", "\n"))
-    split = extract_links(out)
+    out = clean_markdown(text)
+    for pattern, instead in ANSWER:
+        out = F.regexp_replace(out, pattern, instead)
+    split = extract_links(strip(out))
     return F.struct(format_answer(split["text"], longest).alias("text"), split["links"].alias("links"))
 
 

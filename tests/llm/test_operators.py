@@ -285,6 +285,41 @@ def test_lines_of_every_length(spark, least, near):
     assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found.collect()) == plain.deduped(rows, least, near)
 
 
+def test_long_lines(spark):
+    """Lines of up to 200 words with none, one or two edits anywhere, and other white space."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in [*range(5, 40), 47, 48, 49, 63, 64, 65, 66, 95, 96, 97, 127, 128, 129, 200]:
+        words, line = [f"{n}w{i}" for i in range(n)], []
+        for k in range(8):
+            w = words[:]
+            for _ in range(k % 3):
+                i, kind = int(rng.integers(0, len(w))), rng.integers(0, 3)
+                w[i : i + int(kind > 0)] = [f"x{k}"] if kind < 2 else []
+            line.append(str(rng.choice(["", " ", "\t"])) + str(rng.choice([" ", "  ", " \t", "\r"])).join(w))
+        rows.append((len(rows), "\n".join(line[j] for j in rng.permutation(8))))
+    found = lines.without_repeated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found.collect()) == plain.deduped(rows)
+
+
+def test_long_lines_have_few_keys(spark, monkeypatch):
+    """Lines of 2,001 words that are near once emitted 4,003 keys each."""
+    emitted, written = [], lines.written
+
+    def counted(df, name="step"):
+        found = written(df, name)
+        if name == "deletions":
+            emitted.append(found.count())
+        return found
+
+    monkeypatch.setattr(lines, "written", counted)
+    words = [f"w{i}" for i in range(2001)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:3] + ["x"] + words[4:]))]
+    found = lines.without_repeated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found.collect()) == plain.deduped(rows)
+    assert len(emitted) == 1 and 0 < emitted[0] < 1000
+
+
 def test_lines_of_one_id(spark):
     """100,000 texts without an id, whose numbers may be equal: each loses its own repeats and nothing else."""
     own = "concat_ws(' ', 'a' || {0}, 'b' || {0}, 'c' || {0}, 'd' || {0}, 'e' || {0}, '\n', 'x' || {0})".replace("'\n'", "'\\n'")

@@ -252,7 +252,7 @@ def assemble_context(retrieved: DataFrame, max_chunks: int = 3, max_chars: int =
     block = first.withColumn("_block", F.concat(F.btrim("content", F.lit(" \t\n\r\f\v")), mark))
     joined = block.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_block"))).alias("b"))
     text = F.concat(F.lit(f"{header}\n"), F.array_join(F.transform("b", lambda x: x["_block"]), "\n---\n"))
-    cut = F.regexp_replace(F.left(text, F.lit(max_chars)), r"\n[^\n]*$", "")
+    cut = F.regexp_replace(F.left(text, F.lit(max_chars)), r"\n[^\n]*\z", "")  # $ would match before a last line end too, and cut two lines
     return joined.select("query_id", F.when(F.length(text) > max_chars, cut).otherwise(text).alias("context"))
 
 

@@ -46,6 +46,14 @@ def test_empty_context(spark):
     assert {r["query_id"]: r["context"] for r in told.collect()} == {1: "Source 1: text\nURL: https://a", 2: "Nothing was found."}
 
 
+def test_context_cut_at_a_line_end(spark):
+    """A context whose last character within the limit ends a line loses that line end alone."""
+    got = spark.createDataFrame([(1, 0, "first", ""), (1, 1, "second", "")], "query_id long, pos long, content string, file_path string")
+    whole = "Context:\nfirst\n---\nsecond"
+    cuts = {n: retrieve.assemble_context(got, max_chars=n).first()["context"] for n in (len(whole), 19, 18, 17)}
+    assert cuts == {len(whole): whole, 19: "Context:\nfirst\n---", 18: "Context:\nfirst", 17: "Context:\nfirst"}
+
+
 def test_blocks_of_search_agree(spark, small, monkeypatch):
     """Several blocks of queries and of the corpus give what one of each does; rows without length and nulls match nothing."""
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")

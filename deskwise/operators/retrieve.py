@@ -26,8 +26,10 @@ def cosine(a: str, b: str) -> Column:
 
 
 def _ranked(rows: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
+    """Adds ``pos`` from 0 and keeps the first k. The row number itself is bounded, so tasks drop later rows before they are shuffled."""
     window = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("pos", F.row_number().over(window).cast("long") - 1).where(F.col("pos") < k)
+    first = rows.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k)
+    return first.withColumn("pos", F.col("_n").cast("long") - 1).drop("_n")
 
 
 def _unit(vectors: pa.ListArray) -> np.ndarray:
@@ -159,9 +161,20 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 10, workspace:
 
 def graph_candidates(query_entities: DataFrame, entity_chunks: DataFrame, k: int = 60) -> DataFrame:
     """``query_id, id, freq, pos``: chunks of a query's entities; freq counts the entities that lead to a chunk, and
-    the order is that of the first such entity, then of the id."""
-    hits = query_entities.join(entity_chunks, "entity").groupBy("query_id", F.col("chunk_id").alias("id"))
-    return _ranked(hits.agg(F.count("*").alias("freq"), F.min("pos").alias("first")), k, F.col("first"), F.col("id")).drop("first")
+    the order is that of the first such entity, then of the id.
+
+    A chunk among a query's first k is among the first k of the entity it comes by, as those before it there come no later
+    for the query. So a query meets k chunks of each of its entities, and freq is counted for what is given out alone:
+    nothing grows with queries times chunks. Links without an entity or a chunk lead nowhere.
+    """
+    links = entity_chunks.where("entity is not null and chunk_id is not null").select("entity", F.col("chunk_id").alias("id"))
+    asked = query_entities.select("query_id", "entity", "pos")
+    near = written(_ranked(links.distinct(), k, F.col("id"), by="entity").select("entity", "id"), "first-chunks")
+    hits = asked.join(bounded(near), "entity").groupBy("query_id", "id").agg(F.min("pos").alias("first"))
+    chosen = written(_ranked(hits, k, F.col("first").asc_nulls_last(), F.col("id")).drop("first"), "chosen")
+    known = links.join(bounded(chosen.select("id").distinct()), "id", "left_semi").groupBy("entity", "id").agg(F.count("*").alias("n"))
+    ways = chosen.join(asked.drop("pos"), "query_id").join(bounded(written(known, "links")), ["entity", "id"])
+    return ways.groupBy("query_id", "id").agg(F.sum("n").alias("freq"), F.first("pos").alias("pos"))
 
 
 def rank_fusion(vector: DataFrame, entity: DataFrame, relation: DataFrame, k: int = 10) -> DataFrame:

@@ -165,3 +165,39 @@ def test_matches_of_whole_texts(spark, small):
     found = matching.match_texts(spark.createDataFrame(items, f"item {columns}"), spark.createDataFrame(rows, f"document {columns}"))
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     assert {r[2] for r in expected} == {0, 1, 2, 3}
+
+
+def rows_shuffled(spark, run):
+    """What ``run`` gives, and how many rows its stages wrote to be shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+    none, quantiles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(none, False, False, quantiles, none)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("several", [1, 5])
+def test_candidates_of_common_entities(spark, several):
+    """Entities that many queries and chunks share, links that stand twice, places that tie: by brute force, and no row for each query and chunk."""
+    links = [(f"e{i % several}", f"c{i * 7 % 1500:04}") for i in range(1500)] + [("e0", f"c{i:04}") for i in range(0, 60, 3)] + [("e9", "c0000"), (None, "c0001")]
+    asks = [(q, f"e{(q + j) % several}", j // 2) for q in range(150) for j in range(min(3, several))] + [(3, "e9", 0), (4, "none", 0), (5, None, 0)]
+    want = []
+    for query in range(150):
+        seen = defaultdict(list)
+        for q, e, pos in asks:
+            for entity, chunk in links if q == query and e is not None else []:
+                if entity == e:
+                    seen[chunk].append(pos)
+        best = sorted((min(places), chunk, len(places)) for chunk, places in seen.items())[:4]
+        want += [(query, chunk, n, i) for i, (_, chunk, n) in enumerate(best)]
+    of = spark.createDataFrame(links, "entity string, chunk_id string")
+    found, shuffled = rows_shuffled(spark, lambda: retrieve.graph_candidates(spark.createDataFrame(asks, "query_id long, entity string, pos int"), of, 4).collect())
+    assert sorted((r["query_id"], r["id"], r["freq"], r["pos"]) for r in found) == sorted(want)
+    assert shuffled < 20_000

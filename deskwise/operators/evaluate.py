@@ -35,8 +35,38 @@ def per_query_metrics(retrieved: DataFrame, truth: DataFrame) -> DataFrame:
     """A row for each query with truth (query_id, key): hit rate, reciprocal rank, recall, precision and NDCG of what
     was retrieved (query_id, key, pos). Precision divides by k even where fewer were retrieved."""
     truth = truth.distinct()
-    relevant = truth.groupBy("query_id").agg(F.count("*").cast("double").alias("n_rel"))
-    hits = unique_ranks(retrieved).join(truth, ["query_id", "key"])
+    relevant = truth.groupBy("query_id").agg(F.count("*").alias("n_rel"))
+    return hit_metrics(unique_ranks(retrieved).join(truth, ["query_id", "key"]), relevant)
+
+
+def group_hits(retrieved: DataFrame, queries: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of retrieved (query_id, key, ...) whose key is true for the query, where what is true are the members (group,
+    key, own) of the query's group (queries: query_id, group) but those that are the query's ``own``.
+
+    Truth that groups tell isn't made of pairs: only what was retrieved is looked up.
+    """
+    asked = retrieved.select("query_id", "key").distinct().join(queries.select("query_id", "group").distinct(), "query_id")
+    there = members.join(retrieved.select("key").distinct(), "key", "left_semi").distinct()
+    true = asked.join(there, ["group", "key"]).where("own <> query_id").select("query_id", "key").distinct()
+    return retrieved.join(true, ["query_id", "key"], "left_semi")
+
+
+def group_sizes(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """``query_id, n_rel``: how many keys :func:`group_hits` holds true for a query, where there are any.
+
+    Counted by group, less the query's own; of a query with several groups, a key that they share counts for each.
+    """
+    keys = members.where("own is not null").groupBy("group", "key").agg(F.min("own").alias("query_id"), F.max("own").alias("_last"))
+    sizes = keys.groupBy("group").agg(F.count("*").alias("n"))
+    alone = keys.where("query_id = _last").groupBy("group", "query_id").agg(F.count("*").alias("less"))
+    counted = queries.select("query_id", "group").distinct().join(sizes, "group").join(alone, ["group", "query_id"], "left")
+    return counted.groupBy("query_id").agg(F.sum(F.col("n") - F.coalesce("less", F.lit(0))).alias("n_rel")).where("n_rel > 0")
+
+
+def hit_metrics(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    """The metrics of :func:`per_query_metrics` from the true ones of the ranked keys (query_id, rank) and the number of
+    all true ones (query_id, n_rel)."""
+    relevant = relevant.select("query_id", F.col("n_rel").cast("double").alias("n_rel"))
     rank, one = F.col("rank"), lambda k: F.count_if(F.col("rank") <= k).cast("double")
     gain = 1 / F.log2(rank.cast("double") + 1)
     sums = hits.groupBy("query_id").agg(F.min("rank").alias("best"), *(one(k).alias(f"h{k}") for k in KS), *(F.sum(F.when(rank <= k, gain)).alias(f"g{k}") for k in NDCG_KS))

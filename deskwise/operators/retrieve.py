@@ -169,11 +169,11 @@ def graph_candidates(query_entities: DataFrame, entity_chunks: DataFrame, k: int
     """
     links = entity_chunks.where("entity is not null and chunk_id is not null").select("entity", F.col("chunk_id").alias("id"))
     asked = query_entities.select("query_id", "entity", "pos")
-    near = written(_ranked(links.distinct(), k, F.col("id"), by="entity").select("entity", "id"), "first-chunks")
-    hits = asked.join(bounded(near), "entity").groupBy("query_id", "id").agg(F.min("pos").alias("first"))
-    chosen = written(_ranked(hits, k, F.col("first").asc_nulls_last(), F.col("id")).drop("first"), "chosen")
-    known = links.join(bounded(chosen.select("id").distinct()), "id", "left_semi").groupBy("entity", "id").agg(F.count("*").alias("n"))
-    ways = chosen.join(asked.drop("pos"), "query_id").join(bounded(written(known, "links")), ["entity", "id"])
+    near = _ranked(links.distinct(), k, F.col("id"), by="entity").select("entity", "id")
+    hits = asked.join(near, "entity").groupBy("query_id", "id").agg(F.min("pos").alias("first"))
+    chosen = _ranked(hits, k, F.col("first").asc_nulls_last(), F.col("id")).drop("first")
+    known = links.join(near.select("id").distinct(), "id", "left_semi").groupBy("entity", "id").agg(F.count("*").alias("n"))
+    ways = chosen.join(asked.drop("pos"), "query_id").join(known, ["entity", "id"])
     return ways.groupBy("query_id", "id").agg(F.sum("n").alias("freq"), F.first("pos").alias("pos"))
 
 

@@ -201,3 +201,33 @@ def test_candidates_of_common_entities(spark, several):
     found, shuffled = rows_shuffled(spark, lambda: retrieve.graph_candidates(spark.createDataFrame(asks, "query_id long, entity string, pos int"), of, 4).collect())
     assert sorted((r["query_id"], r["id"], r["freq"], r["pos"]) for r in found) == sorted(want)
     assert shuffled < 20_000
+
+
+def test_truth_by_groups(spark):
+    """Truth that a common label tells gives what its pairs give, and no row for each query and key: keys given twice, own keys, groups without others."""
+    label = lambda i: "alone" if i == 0 else None if i == 5 else f"l{i % 2}"
+    members = [(label(i), f"k{i:04}", i) for i in range(1000)] + [("l0", "k0002", 2), ("l1", "k0003", 9999), ("l0", "none", None)]
+    asked = [(q, label(q)) for q in range(120)] + [(7, "l1")]
+    got = [(q, f"k{(q + j * j) % 1000:04}", j) for q in range(110) for j in range(6)]
+    pairs = sorted({(q, k) for q, group in asked if group for g, k, own in members if g == group and own is not None and own != q})
+    retrieved = spark.createDataFrame(got, "query_id long, key string, pos long")
+    queries, of = spark.createDataFrame(asked, "query_id long, group string"), spark.createDataFrame(members, "group string, key string, own long")
+    want = evaluate.per_query_metrics(retrieved, spark.createDataFrame(pairs, "query_id long, key string")).collect()
+
+    def run():
+        ranked = evaluate.unique_ranks(retrieved)
+        return evaluate.hit_metrics(evaluate.group_hits(ranked, queries, of), evaluate.group_sizes(queries, of)).collect()
+
+    found, shuffled = rows_shuffled(spark, run)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(want) == 118
+    assert shuffled < 20_000
+
+
+def test_metrics_without_pairs(spark, tmp_path):
+    """The registered queries on many vectors of one label: rows shuffled grow with queries and chunks, not with both."""
+    rows = [(i, [float(i % 7 + 1), float(i % 11)], 3) for i in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("u2_intersection", "g11_mean_metrics", "j13_retrieved_truth", "e7_per_query_metrics", "j15_known_baselines", "e6_ndcg", "e11_comparison", "e1_unique_ranks", "r7_rerank", "e5_precision"):
+        found, shuffled = rows_shuffled(spark, QUERIES[name](spark, str(tmp_path)).collect)
+        assert found and shuffled < 60_000, name
